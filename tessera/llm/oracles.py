@@ -20,7 +20,24 @@ m AS (
 )
 """
 
+_P2 = f"""
+WITH c AS (SELECT DISTINCT ON (sentence_id) sentence_id, session, text FROM corpus),
+t AS (SELECT DISTINCT sentence_id, session, unnest({_WORDS}) AS term FROM c WHERE text IS NOT NULL),
+r AS (SELECT term, count(*) AS rows_total FROM t GROUP BY term),
+s AS (SELECT session, term, count(*) AS n_rows FROM t WHERE session IS NOT NULL GROUP BY session, term),
+k AS (
+  SELECT DISTINCT run_id || ':' || p1_cluster AS record_key, term FROM (
+    SELECT run_id, p1_cluster, lower(regexp_replace(unnest(string_split_regex(p1_top_terms, '[,;]')), '^\\s+|\\s+$', '', 'g')) AS term
+    FROM multipipeline_per_cluster) WHERE term <> ''
+),
+d AS (SELECT term, count(*) AS n_lists FROM k GROUP BY term)
+SELECT 'corpus' AS record_kind, session AS record_key, term FROM s JOIN r USING (term) WHERE n_rows >= 6 AND 2 * n_rows >= rows_total
+UNION ALL
+SELECT 'cluster', record_key, term FROM k JOIN d USING (term) WHERE n_lists <= 4
+"""
+
 ORACLES = {
+    "p2_found": _P2,
     "p3_frequency": _P3 + "SELECT field_name, field_value, occurrences, n_rows, mark FROM m",
     "p3_found": _P3 + "SELECT field_name, field_value, mark FROM m WHERE mark IS NOT NULL",
 }

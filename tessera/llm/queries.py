@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import encode_corpus
 from tessera.llm.frequency import marked_values, term_frequency
+from tessera.llm.twopoisson import characteristic_terms, term_distinctiveness
 from tessera.sources.tables import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return characteristic_terms(term_distinctiveness(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "multipipeline_per_cluster")))
+
+
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_distinctiveness(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "multipipeline_per_cluster"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked_values(term_frequency(table(spark, sf_dir, "corpus")))
 
