@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import encode_corpus
+from tessera.llm.consensus import consensus_letters, rater_reliability
 from tessera.llm.frequency import marked_values, term_frequency
 from tessera.llm.twopoisson import characteristic_terms, term_distinctiveness
 from tessera.sources.tables import table
@@ -30,6 +31,18 @@ def p3_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequency(table(spark, sf_dir, "corpus"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_consensus(spark, sf_dir).select("study_id", "cluster_id", "letter")
+
+
+def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus_letters(table(spark, sf_dir, "survey_responses"))
+
+
+def p5_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rater_reliability(table(spark, sf_dir, "survey_responses"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), VOCABULARY)
 
