@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.bpe import encode_corpus
 from tessera.llm.consensus import consensus_letters, rater_reliability
 from tessera.llm.frequency import marked_values, term_frequency
+from tessera.llm.spam import stuffed_pages, stuffed_shares
 from tessera.llm.twopoisson import characteristic_terms, term_distinctiveness
 from tessera.sources.tables import table
 
@@ -47,5 +48,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf_dir, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_shares(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
