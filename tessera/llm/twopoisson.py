@@ -98,9 +98,11 @@ def session_terms(corpus: DataFrame) -> DataFrame:
     session come out under a null key: they are no record, but rows that hold the term.
     """
     rows = one_delivery(corpus.select("sentence_id", "session", "text"), "sentence_id").filter(F.col("text").isNotNull())
-    ordered = F.array_sort(terms(F.col("text")))
-    flagged = F.transform(ordered, lambda x, i: F.struct(x.alias("term"), F.when(i == 0, 1).when(ordered[i - 1] != x, 1).otherwise(0).alias("first")))
-    return rows.select("session", F.explode(flagged).alias("t")).groupBy("session", F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.sum("t.first").cast("long").alias("n_rows")).select(F.lit("corpus").alias("record_kind"), F.col("session").alias("record_key"), "term", "tf", "n_rows")
+    words = rows.select("session", terms(F.col("text")).alias("w"))
+    once = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("row")))
+    every = F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("row")))
+    listed = words.select("session", F.explode(F.concat(once, every)).alias("t"))
+    return listed.groupBy("session", F.col("t.term").alias("term")).agg(F.sum("t.tf").cast("long").alias("tf"), F.sum("t.row").cast("long").alias("n_rows")).select(F.lit("corpus").alias("record_kind"), F.col("session").alias("record_key"), "term", "tf", "n_rows")
 
 
 def cluster_terms(clusters: DataFrame) -> DataFrame:
