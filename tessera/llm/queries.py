@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import encode_corpus
 from tessera.llm.consensus import consensus_letters, rater_reliability
+from tessera.llm.contamination import leaked_items, leaked_pairs
 from tessera.llm.frequency import marked_values, term_frequency
 from tessera.llm.spam import stuffed_pages, stuffed_shares
 from tessera.llm.twopoisson import characteristic_terms, term_distinctiveness
@@ -48,6 +49,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"))
 
