@@ -174,42 +174,59 @@ def regions(raw: np.ndarray, starts: np.ndarray, ix: PassageIndex, least: int, w
     return out
 
 
-def align(text: np.ndarray, passage: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Local alignment of a text with a passage over diagonals low to high (text place less passage place).
+def align_many(tasks: list[tuple[np.ndarray, np.ndarray, int, int]], batch: int = 64) -> list[np.ndarray]:
+    """Local alignments of texts with passages, each over diagonals low to high (text place less passage place).
 
     Equal characters score 1, an unequal or missing one -1.  Returns for each passage
-    character the text place it is equal to on the best path, or -1.
+    character the text place it is equal to on the best path, or -1.  Tasks of similar
+    size are computed together, row by row.
     """
-    width = high - low + 1
-    rows = len(passage)
-    score = np.zeros((rows + 1, width + 2), np.int32)
-    offsets = np.arange(width)
-    span = np.arange(width + 2)
-    padded = np.concatenate([text.astype(np.int16), [-1]])
-    for r in range(rows):
-        place = r + low + offsets
-        inside = (place >= 0) & (place < len(text))
-        same = padded[np.where(inside, place, len(text))] == passage[r]
-        prev = score[r]
-        step = np.maximum(prev[1:-1] + np.where(same, 1, -1), prev[2:] - 1)  # diagonal; passage character skipped
-        step = np.where(inside, np.maximum(step, 0), 0)
-        row = np.zeros(width + 2, np.int32)
-        row[1:-1] = step
-        score[r + 1] = np.maximum.accumulate(row + span) - span  # text characters skipped
-        np.maximum(score[r + 1], 0, out=score[r + 1])
-        score[r + 1, 0] = score[r + 1, -1] = 0
-    out = np.full(rows, -1)
-    r, c = np.unravel_index(int(score.argmax()), score.shape)
-    while r > 0 and score[r, c] > 0:
-        place = r - 1 + low + c - 1
-        same = 0 <= place < len(text) and text[place] == passage[r - 1]
-        if score[r, c] == score[r - 1, c] + (1 if same else -1):
+    out: list[np.ndarray] = [np.zeros(0, int)] * len(tasks)
+    order = sorted(range(len(tasks)), key=lambda k: (len(tasks[k][1]), tasks[k][3] - tasks[k][2]))
+    for at in range(0, len(order), batch):
+        some = order[at : at + batch]
+        n, rows = len(some), max(len(tasks[k][1]) for k in some)
+        width = max(tasks[k][3] - tasks[k][2] + 1 for k in some)
+        reach = max(len(tasks[k][0]) for k in some)
+        text, passage = np.full((n, reach + 1), -1, np.int16), np.full((n, rows), -2, np.int16)
+        low, size = np.zeros((n, 1), np.int64), np.zeros((n, 1), np.int64)
+        wide = np.zeros((n, width), bool)
+        for i, k in enumerate(some):
+            t, q, lo, hi = tasks[k]
+            text[i, : len(t)], passage[i, : len(q)], low[i], size[i] = t, q, lo, len(t)
+            wide[i, : hi - lo + 1] = True
+        score = np.zeros((rows + 1, n, width + 2), np.int16)
+        lane, span = np.arange(n)[:, None], np.arange(width + 2, dtype=np.int16)
+        place = low + np.arange(width)
+        for r in range(rows):
+            inside = wide & (place >= 0) & (place < size)
+            same = text[lane, np.where(inside, place, reach)] == passage[:, r : r + 1]
+            prev, row = score[r], score[r + 1]
+            step = np.maximum(prev[:, 1:-1] + np.where(same, 1, -1), prev[:, 2:] - 1)  # both advance; a passage character is skipped
+            row[:, 1:-1] = np.where(inside, np.maximum(step, 0), 0)
+            row[:] = np.maximum(np.maximum.accumulate(row + span, axis=1) - span, 0)  # text characters are skipped
+            row[:, 0] = row[:, -1] = 0
+            place += 1
+        for i, k in enumerate(some):
+            out[k] = _best_path(score[:, i], *tasks[k][:3])
+    return out
+
+
+def _best_path(score: np.ndarray, text: np.ndarray, passage: np.ndarray, low: int) -> np.ndarray:
+    out = np.full(len(passage), -1)
+    r, c = divmod(int(score.argmax()), score.shape[1])
+    cells, t, p = score[: r + 1].tolist(), text.tolist(), passage.tolist()
+    last = score.shape[1] - 1
+    while r > 0 and cells[r][c] > 0:
+        place, here = r - 1 + low + c - 1, cells[r][c]
+        same = 0 <= place < len(t) and r <= len(p) and t[place] == p[r - 1]
+        if here == cells[r - 1][c] + (1 if same else -1):
             if same:
                 out[r - 1] = place
             r -= 1
-        elif c + 1 < width + 2 and score[r, c] == score[r - 1, c + 1] - 1:
+        elif c < last and here == cells[r - 1][c + 1] - 1:
             r, c = r - 1, c + 1
-        elif score[r, c] == score[r, c - 1] - 1:
+        elif here == cells[r][c - 1] - 1:
             c -= 1
         else:
             break
@@ -237,17 +254,22 @@ def word_runs(matched: np.ndarray, share: float, gap: int, least: int) -> list[t
     return [*word_runs(left, share, gap, least), best, *word_runs(right, share, gap, least)]
 
 
-def leaks_of(parts: list[tuple[int, int, int, int]], text: np.ndarray, ix: PassageIndex, p: int, least_words: int, share: float, gap: int, pad: int = 60) -> tuple[int, int]:
+def task_of(part: tuple[int, int, int, int], text: np.ndarray, passage: np.ndarray, pad: int = 60) -> tuple[tuple, int, int]:
+    """The alignment that verifies a region, with the offsets of its text and passage."""
+    low, high, a, b = part
+    a0, b0 = max(0, a - pad), min(len(text), b + pad)
+    p0, p1 = max(0, a0 - high - 8), min(len(passage), b0 - low + 8)
+    return (text[a0:b0], passage[p0:p1], low - 8 - a0 + p0, high + 8 - a0 + p0), a0, p0
+
+
+def longest_leak(aligned: list[tuple[np.ndarray, int, int]], ix: PassageIndex, p: int, least_words: int, share: float, gap: int) -> tuple[int, int]:
     """``(words in a row, words matched)`` of the longest leak of passage ``p`` in a text; (0, 0) if none is long enough."""
     words, rare = ix.words[p], ix.rare[p]
     bounds = _word_bounds(words)
     runs = []
-    for low, high, a, b in parts:
-        a0, b0 = max(0, a - pad), min(len(text), b + pad)
-        p0, p1 = max(0, a0 - high - 8), min(len(words), b0 - low + 8)
-        got = align(text[a0:b0], ix.raw[p][p0:p1], low - 8 - a0 + p0, high + 8 - a0 + p0)
+    for got, a0, p0 in aligned:
         place = np.full(len(words), -1)
-        place[p0:p1] = np.where(got >= 0, got + a0, -1)
+        place[p0 : p0 + len(got)] = np.where(got >= 0, got + a0, -1)
         matched = np.array([place[x] >= 0 and (place[x:y] >= 0).all() and place[y - 1] - place[x] <= y - x for x, y in bounds])
         for w0, w1 in word_runs(matched, share, gap, 4):
             odd = rare[w0:w1]
@@ -299,12 +321,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     ids, texts = batch.column(0).slice(at, 1500), [squash(t) for t in batch.column(1).slice(at, 1500).to_pylist()]
                     raw = _bytes(texts)
                     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+                    found = regions(raw, starts, ix, least, window, band, sure, telling)
+                    tasks = [task_of(part, raw[starts[t] : starts[t] + len(texts[t])], ix.raw[p]) for t, p, *part in found]
                     by: dict[tuple[int, int], list] = {}
-                    for t, p, *region in regions(raw, starts, ix, least, window, band, sure, telling):
-                        by.setdefault((t, p), []).append(region)
+                    for (t, p, *_), (_, a0, p0), got in zip(found, tasks, align_many([x[0] for x in tasks])):
+                        by.setdefault((t, p), []).append((got, a0, p0))
                     rows = []
-                    for (t, p), parts in by.items():
-                        n, m = leaks_of(parts, raw[starts[t] : starts[t] + len(texts[t])], ix, p, least_words, share, gap)
+                    for (t, p), aligned in by.items():
+                        n, m = longest_leak(aligned, ix, p, least_words, share, gap)
                         rows += [(t, owner, n, m) for owner in ix.owners[p] if n]
                     if rows:
                         t, owner, n, m = zip(*rows)
