@@ -91,9 +91,24 @@ def _rater_step(matrices: np.ndarray, log_weights: np.ndarray, log_matrices: np.
     return run
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _posterior(scores: pd.Series) -> pd.Series:
-    return pd.Series(list(_softmax(np.stack(scores.to_numpy())))) if len(scores) else scores
+def _community_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial sums by community of membership (k = -1) and of the 25 expected counts."""
+    total: np.ndarray | int = 0
+    for pdf in batches:
+        if len(pdf):
+            w, n = np.stack(pdf["weights"].to_numpy()), np.stack(pdf["n"].to_numpy())
+            total = total + np.concatenate([w.sum(0)[:, None], w.T @ n], axis=1)
+    if not isinstance(total, int):
+        m, k = np.indices(total.shape)
+        yield pd.DataFrame({"m": m.ravel(), "k": k.ravel() - 1, "v": total.ravel()})
+
+
+def _posterior(log_kappa: np.ndarray):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(scores: pd.Series) -> pd.Series:
+        return pd.Series(list(_softmax(np.stack(scores.to_numpy()) + log_kappa))) if len(scores) else scores
+
+    return run
 
 
 def community_consensus(responses: DataFrame, strength: float = 30.0, proto_weight: float = 20.0, max_rounds: int = 20, tolerance: float = 1e-4) -> Consensus:
@@ -116,21 +131,17 @@ def community_consensus(responses: DataFrame, strength: float = 30.0, proto_weig
     for rounds in range(1, max_rounds + 1):
         counted = known.join(items, ["study_id", "cluster_id"]).groupBy("rater").agg(*[F.sum(F.when(F.col("letter") == j, F.col(f"p{c}")).otherwise(0.0)).alias(f"n{c * K + j}") for c in range(K) for j in range(K)])
         new_raters = ws.write(counted.mapInPandas(_rater_step(matrices, log_weights, log_matrices, strength), _RATER), "raters")
-        sums = new_raters.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(F.col("weights")[m]).alias(f"w{m}") for m in range(len(start))],
-            *[F.sum(F.col("weights")[m] * F.col("n")[k]).alias(f"c{m}_{k}") for m in range(len(start)) for k in range(K * K)],
-        ).first()
-        if not sums["n"]:
+        sums = {(r["m"], r["k"]): r["v"] for r in new_raters.select("n", "weights").mapInPandas(_community_sums, "m int, k int, v double").groupBy("m", "k").agg(F.sum("v").alias("v")).collect()}
+        if not sums:
             raters = new_raters
             break
-        alpha = np.array([[sums[f"c{m}_{k}"] for k in range(K * K)] for m in range(len(start))]).reshape(-1, K, K)
+        alpha = np.array([[sums[m, k] for k in range(K * K)] for m in range(len(start))]).reshape(-1, K, K)
         alpha = alpha + proto_weight * start
         matrices = alpha / alpha.sum(2, keepdims=True)
         log_matrices = _digamma(alpha) - _digamma(alpha.sum(2))[:, :, None]
-        log_weights = np.log((np.array([sums[f"w{m}"] for m in range(len(start))]) + 1) / (sums["n"] + len(start)))
-        scored = known.join(new_raters.select("rater", "log_confusion"), "rater").groupBy("study_id", "cluster_id").agg(*[(F.sum(F.element_at("log_confusion", F.col("letter") + 1 + c * K)) + float(log_kappa[c])).alias(f"s{c}") for c in range(K)])
-        q = scored.select("study_id", "cluster_id", _posterior(F.array(*[f"s{c}" for c in range(K)])).alias("q")).select("study_id", "cluster_id", *[F.col("q")[c].alias(f"p{c}") for c in range(K)])
+        log_weights = np.log((np.array([sums[m, -1] for m in range(len(start))]) + 1) / (sum(sums[m, -1] for m in range(len(start))) + len(start)))
+        scored = known.join(new_raters.select("rater", "log_confusion"), "rater").groupBy("study_id", "cluster_id").agg(*[F.sum(F.element_at("log_confusion", F.col("letter") + 1 + c * K)).alias(f"s{c}") for c in range(K)])
+        q = scored.select("study_id", "cluster_id", _posterior(log_kappa)(F.array(*[f"s{c}" for c in range(K)])).alias("q")).select("study_id", "cluster_id", *[F.col("q")[c].alias(f"p{c}") for c in range(K)])
         new_items = ws.write(q, "items")
         moved = new_items.alias("a").join(items.alias("b"), ["study_id", "cluster_id"]).agg(
             F.avg(sum((F.abs(F.col(f"a.p{c}") - F.col(f"b.p{c}")) for c in range(K)), F.lit(0.0))).alias("moved"), *[F.avg(f"a.p{c}").alias(f"k{c}") for c in range(K)], F.count(F.lit(1)).alias("n")
