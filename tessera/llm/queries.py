@@ -10,6 +10,7 @@ from tessera.llm.bpe import encode_corpus
 from tessera.llm.consensus import consensus_letters, rater_reliability
 from tessera.llm.contamination import leaked_items, leaked_pairs
 from tessera.llm.frequency import marked_values, term_frequency
+from tessera.llm.pivot import same_incident, theme_clusters
 from tessera.llm.spam import stuffed_pages, stuffed_shares
 from tessera.llm.twopoisson import characteristic_terms, term_distinctiveness
 from tessera.sources.tables import table
@@ -33,6 +34,14 @@ def p3_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequency(table(spark, sf_dir, "corpus"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_incident(table(spark, sf_dir, "corpus"))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return theme_clusters(table(spark, sf_dir, "corpus"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_consensus(spark, sf_dir).select("study_id", "cluster_id", "letter")
 
