@@ -10,6 +10,7 @@ from tessera.llm.bpe import encode_corpus
 from tessera.llm.consensus import consensus_letters, rater_reliability
 from tessera.llm.contamination import leaked_items, leaked_pairs
 from tessera.llm.frequency import marked_values, term_frequency
+from tessera.llm.names import entities, same_entity
 from tessera.llm.pivot import same_incident, theme_clusters
 from tessera.llm.spam import stuffed_pages, stuffed_shares
 from tessera.llm.twopoisson import characteristic_terms, term_distinctiveness
@@ -18,6 +19,14 @@ from tessera.sources.tables import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_entity(table(spark, sf_dir, "gazetteer"))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(table(spark, sf_dir, "gazetteer"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return characteristic_terms(term_distinctiveness(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "multipipeline_per_cluster")))
 
