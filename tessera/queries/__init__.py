@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list = []
+from tessera.queries import vectors
+
+FAMILIES = [vectors.family]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
