@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.queries import corpus, vectors
+from tessera.queries import corpus, lexical, vectors
 
-FAMILIES = [corpus.family, vectors.family]
+FAMILIES = [corpus.family, vectors.family, lexical.family]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
