@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.queries import corpus, diagnose, lexical, vectors
+from tessera.queries import compose, corpus, diagnose, lexical, vectors
 
-FAMILIES = [corpus.family, vectors.family, lexical.family, diagnose.family]
+FAMILIES = [corpus.family, vectors.family, lexical.family, diagnose.family, compose.family]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
