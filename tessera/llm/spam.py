@@ -127,7 +127,7 @@ def _first_reading(ids, sizes, doc, n_tokens, t: Tables, pair_counts, word_count
     n_words = np.bincount(doc[ids < WORDS], minlength=m)
     top = np.zeros(m)
     d, key, count = pair_counts
-    special = t.pair_docs[key] < 0.03 * t.docs
+    special = (t.pair_docs[key] < 0.1 * t.docs) & (count >= 5)
     np.maximum.at(top, d[special], count[special])
     repeated = np.bincount(doc[(rep >= 2) & (rep < REP_BINS)], minlength=m).astype(float)
     wd, wkey, wcount = word_counts
