@@ -17,9 +17,10 @@ def prevalence(df: DataFrame, categories: DataFrame, label: str = "label", keys:
     """
     by = list(keys)
     counts = df.groupBy(*by, F.col(label).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("n_total"), F.coalesce(F.sum(F.when(F.col("category") != -1, F.col("n"))), F.lit(0)).alias("n_assigned"))
-    full = totals.crossJoin(F.broadcast(categories.select("category")))  # categories are a bounded list
-    out = full.join(counts, [*by, "category"], "left").withColumn("n_category", F.coalesce("n", F.lit(0))).drop("n")
+    # one entry a category: a map of bounded size replaces a second pass over the counts
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("n_total"), F.coalesce(F.sum(F.when(F.col("category") != -1, F.col("n"))), F.lit(0)).alias("n_assigned"), F.map_from_entries(F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", "n")))).alias("counted"))
+    full = whole.crossJoin(F.broadcast(categories.select("category")))  # categories are a bounded list
+    out = full.withColumn("n_category", F.coalesce(F.try_element_at("counted", F.col("category")), F.lit(0))).drop("counted")
     return out.withColumn("p_all", ratio(F.col("n_category"), F.col("n_total"))).withColumn("p_assigned", ratio(F.col("n_category"), F.col("n_assigned")))
 
 
@@ -90,11 +91,11 @@ def balances(domains: tuple[str, ...]) -> dict[str, tuple[list[str], list[str]]]
     return {f"b{k + 1}": ([domains[k]], list(domains[k + 1 :])) for k in range(len(domains) - 1)}
 
 
-def domain_counts(df: DataFrame, domains: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys..., domain, n)`` with zeros; rows whose domain is null leave the composition."""
-    c = df.filter("domain is not null").groupBy(*keys, "domain").agg(F.count(F.lit(1)).alias("n"))
-    full = df.select(*keys).distinct().crossJoin(F.broadcast(domains))  # a handful of domains
-    return full.join(c, [*keys, "domain"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def domain_counts(df: DataFrame, domains: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """``(keys..., domain, n)`` with zeros, in one pass; rows whose domain is null leave the composition."""
+    wide = df.groupBy(*keys).agg(*[F.count_if(F.col("domain") == d).alias(f"__{k}") for k, d in enumerate(domains)])
+    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"__{k}").alias("n")) for k, d in enumerate(domains)])).alias("x")
+    return wide.select(*keys, rows).select(*keys, "x.*")
 
 
 def representation(df: DataFrame, keys: list[str], domains: tuple[str, ...], primary: str) -> DataFrame:

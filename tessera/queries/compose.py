@@ -62,8 +62,7 @@ def loo_event(spark, d):
 
 def _domain(spark, d):
     r = registered(spark, d).filter("label <> -1").withColumn("domain", domain_of(F.col("label")))
-    doms = spark.createDataFrame([(x,) for x in DOMAINS], "domain string")
-    return C.domain_counts(r.select("event", "register", "domain"), doms, ["event", "register"])
+    return C.domain_counts(r.select("event", "register", "domain"), DOMAINS, ["event", "register"])
 
 
 _D = R_SQL + f""", dm AS (SELECT event, register, {DOMAIN_SQL} AS domain FROM r WHERE label <> -1), dk AS (SELECT DISTINCT event, register FROM dm), dd AS (SELECT unnest(['{"', '".join(DOMAINS)}']) AS domain),
@@ -143,10 +142,10 @@ def _variants(spark, d, moves):
     maps = C.variant_maps(base, moves)
     # one grouped query for all variants: the map's variant is one more key
     r = registered(spark, d).filter("label <> -1").groupBy("event", "register", F.col("label").alias("category")).agg(F.count(F.lit(1)).alias("c"))
-    doms = spark.createDataFrame([(x,) for x in DOMAINS], "domain string")
-    n = r.join(F.broadcast(maps), "category").filter("domain is not null").groupBy("variant", "event", "register", "domain").agg(F.sum("c").alias("n"))
     keys = ["variant", "event", "register"]
-    full = n.select(*keys).distinct().crossJoin(F.broadcast(doms)).join(n, [*keys, "domain"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    mapped = r.join(F.broadcast(maps), "category").filter("domain is not null")
+    wide = mapped.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("domain") == x, F.col("c"))), F.lit(0)).alias(x) for x in DOMAINS])
+    full = wide.unpivot(keys, list(DOMAINS), "domain", "n")
     rep = C.representation(C.zero_replaced(full, keys), keys, DOMAINS, "Alpha")
     return C.summarise(C.representation_deltas(rep, ["variant", "event"]).filter("representation = 'clr'"), ["variant"], "delta")
 
