@@ -295,3 +295,26 @@ def ward_cut_profile(cents: DataFrame, cuts: tuple[int, ...] = (2, 3, 4, 5, 6, 8
     merges = K.ward_merges(x)
     rows = [(k, sorted(np.bincount(K.cut(merges, len(x), k)).tolist(), reverse=True)) for k in cuts if k < len(x)]
     return cents.sparkSession.createDataFrame(rows, "k int, sizes array<int>")
+
+
+def subgroups(df: DataFrame, k: int = 3, fit_rows: int = 2000, id_col: str = "id") -> DataFrame:
+    """``(label, id, sub)``: Ward's ``k`` groups within each category of ``(id, label, proj)``.
+
+    The tree of a category is fitted on its first ``fit_rows`` rows in hash order, which
+    bounds what a task holds; every row then joins the group whose mean is nearest.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("label").orderBy(F.xxhash64(F.lit("fit"), id_col), id_col)
+    fit = df.select("label", id_col, "proj").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= fit_rows).drop("rn")
+
+    def means(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col)
+        x = np.array(pdf["proj"].tolist(), float)
+        got = K.ward(x, k)
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "sub": np.arange(got.max() + 1), "mu": [x[got == g].mean(0).tolist() for g in range(got.max() + 1)]})
+
+    centres = fit.groupBy("label").applyInPandas(means, "label int, sub int, mu array<double>")
+    packed = centres.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("sub", "mu"))).alias("cs"))
+    far = F.transform("cs", lambda c: F.struct(F.aggregate(F.zip_with("proj", c["mu"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"), c["sub"].alias("sub")))
+    return df.join(packed, "label").select("label", id_col, F.array_min(far)["sub"].alias("sub"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.queries import compose, corpus, diagnose, lexical, models, relational, report, vectors
+from tessera.queries import compose, corpus, diagnose, extras, lexical, models, relational, report, vectors
 
-FAMILIES = [corpus.family, vectors.family, lexical.family, diagnose.family, compose.family, report.family, relational.family, models.family]
+FAMILIES = [corpus.family, vectors.family, lexical.family, diagnose.family, compose.family, report.family, relational.family, extras.family, models.family]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
