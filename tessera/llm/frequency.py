@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,11 +83,11 @@ def _map_side(folder: str, memory_mb: int, flush_rows: int):
                 for name in fields:
                     col = batch.column(name)
                     if pa.types.is_list(col.type):
-                        row, value = pa.compute.list_parent_indices(col), pa.compute.list_flatten(col)
+                        row, value = pc.list_parent_indices(col), pc.list_flatten(col)
                     else:
-                        keep = pa.compute.is_valid(col)
-                        row, value = pa.compute.filter(pa.array(range(len(col)), pa.int64()), keep), pa.compute.filter(col, keep)
-                    pending.setdefault(name, []).append((pa.compute.add(pa.compute.cast(row, pa.int64()), base), value))
+                        keep = pc.is_valid(col)
+                        row, value = pc.filter(pa.array(range(len(col)), pa.int64()), keep), pc.filter(col, keep)
+                    pending.setdefault(name, []).append((pc.add(pc.cast(row, pa.int64()), base), value))
                     n_held += len(value)
                 base += batch.num_rows
                 if n_held >= flush_rows:
