@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.math import hypergeom_tail, r6, ratio
+from tessera.functions.exact import hypergeom_tail
+from tessera.functions.math import r6, ratio
 from tessera.functions.text import terms
 from tessera.operators.ordering import benjamini_hochberg, benjamini_hochberg_within
 from tessera.plans.lineage import Workspace

@@ -174,7 +174,7 @@ def enrichment_plateau(spark, d):
     base = ws.write(L.incidence(occ, vocab, ("sentence_id",)), "incidence")
     parts = s.select("sentence_id", "token_count", F.explode(F.array(F.lit(7), F.lit(8), F.lit(9))).alias("mcs")).select("sentence_id", "mcs", (F.col("token_count") % F.col("mcs") - 1).cast("int").alias("label"))
     counts = L.term_counts(parts, base.join(parts, "sentence_id"), ["mcs"])
-    from tessera.functions.math import hypergeom_tail
+    from tessera.functions.exact import hypergeom_tail
     from tessera.operators.ordering import benjamini_hochberg_within
 
     tested = counts.withColumn("p", hypergeom_tail(F.col("k_in"), F.col("n_docs"), F.col("df_term"), F.col("n_cluster")))

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions import exact as E
 from tessera.functions import math as M
 from tessera.functions.text import strip_ws, terms, token_count
 from tessera.operators.ordering import benjamini_hochberg, benjamini_hochberg_within, positional_ids
@@ -23,9 +24,11 @@ def test_ln_factorial(spark):
 def test_hypergeom_tail_is_exact(spark):
     cases = [(0, 50, 10, 5), (3, 50, 10, 5), (5, 50, 10, 5), (6, 50, 10, 5), (1, 7, 7, 3), (30, 1000, 200, 100), (4, 1000, 200, 100), (2, 3, 2, 3), (90, 2000, 100, 900)]
     df = spark.createDataFrame(cases, "k long, n long, t long, c long").withColumn("p", M.hypergeom_tail(F.col("k"), F.col("n"), F.col("t"), F.col("c")))
-    for r in df.collect():
+    batch = df.withColumn("b", E.hypergeom_tail(F.col("k"), F.col("n"), F.col("t"), F.col("c")))
+    for r in batch.collect():
         want = exact_tail(r.k, r.n, r.t, r.c)
         assert r.p == pytest.approx(min(1.0, want), rel=1e-8, abs=1e-12)
+        assert r.b == pytest.approx(min(1.0, want), rel=1e-8, abs=1e-12)
 
 
 def test_sign_test_goldens(spark):
