@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 Q = 12
 _MARKUP = re.compile(r"<[^<>]{0,200}>")
+_LETTERS = re.compile(r"[^\W_]+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(42)
 
@@ -32,8 +33,10 @@ def squash(text: str | None) -> str:
     """Letters and digits of a text in lower case, compatibility forms unified, marks and markup removed."""
     if not text:
         return ""
-    plain = unicodedata.normalize("NFKD", html.unescape(_MARKUP.sub(" ", text))).lower()
-    return "".join(c for c in plain if c.isalnum())
+    plain = _MARKUP.sub(" ", text) if "<" in text else text
+    plain = html.unescape(plain) if "&" in plain else plain
+    plain = plain if plain.isascii() else unicodedata.normalize("NFKD", plain)
+    return "".join(_LETTERS(plain.lower()))
 
 
 def word_of_char(text: str) -> np.ndarray:
@@ -174,6 +177,20 @@ def regions(raw: np.ndarray, starts: np.ndarray, ix: PassageIndex, least: int, w
     return out
 
 
+def along(text: np.ndarray, passage: np.ndarray, part: tuple[int, int, int, int]) -> np.ndarray | None:
+    """Places of a region that is an exact copy on one diagonal, extended while characters are equal; None if it is not."""
+    low, high, a, b = part
+    if low != high or not np.array_equal(text[a:b], passage[a - low : b - low]):
+        return None
+    while a > 0 and a - low > 0 and text[a - 1] == passage[a - 1 - low]:
+        a -= 1
+    while b < len(text) and b - low < len(passage) and text[b] == passage[b - low]:
+        b += 1
+    out = np.full(len(passage), -1)
+    out[a - low : b - low] = np.arange(a, b)
+    return out
+
+
 def align_many(tasks: list[tuple[np.ndarray, np.ndarray, int, int]], batch: int = 64) -> list[np.ndarray]:
     """Local alignments of texts with passages, each over diagonals low to high (text place less passage place).
 
@@ -293,7 +310,7 @@ def longest_leak(aligned: list[tuple[np.ndarray, int, int]], ix: PassageIndex, p
     return best if best[0] >= least_words else (0, 0)
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", least_words: int = 14, share: float = 0.8, gap: int = 3, least: int = 18, window: int = 90, band: int = 32, sure: int = 50, telling: int = 4, index_chars: int = 20_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", least_words: int = 14, share: float = 0.8, gap: int = 3, least: int = 18, window: int = 90, band: int = 32, sure: int = 50, telling: int = 8, index_chars: int = 20_000_000) -> DataFrame:
     """``(id, item, n_words, n_matched)`` for each document and item whose passage it carries.
 
     A case holds ``least_words`` or more words of the passage in a row: ``share`` of them equal,
@@ -322,10 +339,18 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     raw = _bytes(texts)
                     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
                     found = regions(raw, starts, ix, least, window, band, sure, telling)
-                    tasks = [task_of(part, raw[starts[t] : starts[t] + len(texts[t])], ix.raw[p]) for t, p, *part in found]
                     by: dict[tuple[int, int], list] = {}
-                    for (t, p, *_), (_, a0, p0), got in zip(found, tasks, align_many([x[0] for x in tasks])):
-                        by.setdefault((t, p), []).append((got, a0, p0))
+                    unclear, tasks = [], []
+                    for t, p, *part in found:
+                        text = raw[starts[t] : starts[t] + len(texts[t])]
+                        exact = along(text, ix.raw[p], part)
+                        if exact is None:
+                            unclear.append((t, p))
+                            tasks.append(task_of(part, text, ix.raw[p]))
+                        else:
+                            by.setdefault((t, p), []).append((exact, 0, 0))
+                    for key, (_, a0, p0), got in zip(unclear, tasks, align_many([x[0] for x in tasks])):
+                        by.setdefault(key, []).append((got, a0, p0))
                     rows = []
                     for (t, p), aligned in by.items():
                         n, m = longest_leak(aligned, ix, p, least_words, share, gap)
