@@ -15,12 +15,14 @@ driver sees does not grow with the data, and no pass shuffles texts or words.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ from tessera.plans.lineage import Workspace
 WORD_BITS, PAIR_BITS = 18, 20
 WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
 URL, TAG, PRICE, NUMBER, MARK = (WORDS + k for k in range(5))
-TOKEN = (
-    r"(?P<u>(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@.])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,12}(?:/[^\s<>\"')\]]*)?(?![\w.]))"
-    r"|(?P<t>#\w[\w-]*)|(?P<p>[$€£]\s?\d+(?:[.,]\d+)*)|(?P<n>\d+(?:[.:,]\d+)*)|(?P<w>[^\W\d_]+(?:['’-][^\W\d_]+)*)|(?P<x>[^\w\s]+|_+)"
-)
+URLS = r"(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@.])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,12}(?:/[^\s<>\"')\]]*)?(?![\w.])"
+TAGS, PRICES, NUMBERS = r"#\w[\w-]*", r"[$€£]\d+(?:[.,]\d+)*", r"\d+(?:[.:,]\d+)*"
+TOKEN = f"{URLS}|{TAGS}|{PRICES}|{NUMBERS}" + r"|[^\W\d_]+(?:['’-][^\W\d_]+)*|[^\w\s]+|_+"
+KINDS = ((NUMBERS, NUMBER), (PRICES, PRICE), (TAGS, TAG), (URLS, URL))
 PMI_BINS, REP_BINS = 9, 5
 
 
@@ -58,28 +60,40 @@ class Weights:
     rep: np.ndarray
 
 
-def tokenize(texts: list[str | None], cache: dict[str, int], find) -> tuple[list[int], list[int], list[int]]:
-    """Hashed tokens of texts: ids, lengths in characters, number of tokens of each text."""
-    kinds = {"u": URL, "t": TAG, "p": PRICE, "n": NUMBER, "x": MARK}
-    ids: list[int] = []
-    sizes: list[int] = []
-    counts: list[int] = []
-    for text in texts:
-        before = len(ids)
-        for m in find((text or "").lower()):
-            kind, word = m.lastgroup, m.group()
-            if kind == "w":
-                h = cache.get(word)
-                if h is None:
-                    if len(cache) > 500_000:
-                        cache.clear()
-                    h = cache[word] = zlib.crc32(word.encode()) & (WORDS - 1)
-                ids.append(h)
-            else:
-                ids.append(kinds[kind])
-            sizes.append(len(word))
-        counts.append(len(ids) - before)
-    return ids, sizes, counts
+def token_id(token: str) -> int:
+    """Word bucket of a token, or the id of the kind it is of; what a token is shows in itself."""
+    for pattern, kind in KINDS:
+        if re.fullmatch(pattern, token):
+            return kind
+    return zlib.crc32(token.encode()) & (WORDS - 1) if token[0].isalpha() else MARK
+
+
+class Tokenizer:
+    """Hashed tokens of texts, a stretch without white space at a time; stretches seen before are looked up."""
+
+    def __init__(self, cache_limit: int = 500_000):
+        self._find, self._limit = re.compile(TOKEN).findall, cache_limit
+        self._cache: dict[str, list[int]] = {}
+
+    def _read(self, stretch: str) -> list[int]:
+        packed = [token_id(t) << 20 | min(len(t), (1 << 20) - 1) for t in self._find(stretch)]
+        if len(stretch) <= 64:
+            if len(self._cache) >= self._limit:
+                self._cache.clear()
+            self._cache[stretch] = packed
+        return packed
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids and lengths in characters of all tokens, and the number of tokens of each text."""
+        get, packed, counts = self._cache.get, [], []
+        for text in texts:
+            before = len(packed)
+            for stretch in (text or "").lower().split():
+                got = get(stretch)
+                packed += self._read(stretch) if got is None else got
+            counts.append(len(packed) - before)
+        flat = np.asarray(packed, np.int64)
+        return (flat >> 20).astype(np.int32), (flat & ((1 << 20) - 1)).astype(np.int32), counts
 
 
 def _pairs(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,18 +166,19 @@ def _stretches(score: np.ndarray, sizes: np.ndarray, doc: np.ndarray, n_tokens:
     return flag, np.bincount(doc, weights=sizes * flag, minlength=m) / np.maximum(np.bincount(doc, weights=sizes, minlength=m), 1)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int = 1_500_000):
-    """Columns of hashed tokens as flat arrays: keys, ids, sizes, text index, tokens of each text."""
+def _batches(batches: Iterator[pa.RecordBatch], most: int = 500_000, extra: bool = False):
+    """Columns of hashed tokens as flat arrays: keys, ids, sizes, text index, tokens of each text, and bins and flags if ``extra``."""
     for batch in batches:
         lists = batch.column(1)
-        n = np.asarray(pa.compute.list_value_length(lists).fill_null(0))
+        n = np.asarray(pc.list_value_length(lists).fill_null(0))
         cut = np.cumsum(n) // most
         for part in np.unique(cut):
             rows = np.nonzero(cut == part)[0]
             sub = batch.slice(rows[0], rows[-1] - rows[0] + 1)
             size = n[rows[0] : rows[-1] + 1]
             ids, sizes = (np.asarray(sub.column(k).flatten()).astype(np.int64) for k in (1, 2))
-            yield sub.column(0), ids, sizes, np.repeat(np.arange(len(size)), size), size
+            more = (np.asarray(sub.column(3).flatten()).astype(np.int64), np.asarray(sub.column(4).to_numpy(zero_copy_only=False), bool)) if extra else ()
+            yield sub.column(0), ids, sizes, np.repeat(np.arange(len(size)), size), size, *more
 
 
 def _sum_tables(rows: DataFrame, shape: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
@@ -214,16 +229,34 @@ def _scores(ids: np.ndarray, pmi: np.ndarray, rep: np.ndarray, w: Weights) -> np
     return w.words[ids] + w.pmi[pmi] + w.rep[rep]
 
 
-def _learn(tokens: DataFrame, tables, weights, first: dict, half: int, belongs: float) -> Weights:
-    """One round of learning: from the first reading, or from stretches under the current weights."""
+def _read_once(tokens: DataFrame, tables, first: dict, id_col: str, id_type: str) -> DataFrame:
+    """Tokens with their bins, and whether the first reading flags the text; they do not depend on what is learned."""
 
     def run(batches):
         t = tables.value
-        sums = {0: np.zeros((WORDS + 5, 2)), 1: np.zeros((PMI_BINS + 1, 2)), 2: np.zeros((REP_BINS + 1, 2))}
-        for _, ids, sizes, doc, n in _batches(batches):
+        for keys, ids, sizes, doc, n in _batches(batches):
             pmi, rep, pair_counts, word_counts = _features(ids, doc, n, t)
+            flag = _first_reading(ids, sizes, doc, n, t, pair_counts, word_counts, rep, **first)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, sizes, pmi * (REP_BINS + 1) + rep)]
+            yield pa.RecordBatch.from_arrays([keys, *lists, pa.array(flag)], names=[id_col, "ids", "sizes", "bins", "flagged"])
+
+    return tokens.mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, sizes array<int>, bins array<int>, flagged boolean")
+
+
+def _bins(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return packed // (REP_BINS + 1), packed % (REP_BINS + 1)
+
+
+def _learn(tokens: DataFrame, weights, half: int, belongs: float) -> Weights:
+    """One round of learning: from the first reading, or from stretches under the current weights."""
+
+    def run(batches):
+        sums = {0: np.zeros((WORDS + 5, 2)), 1: np.zeros((PMI_BINS + 1, 2)), 2: np.zeros((REP_BINS + 1, 2))}
+        for _, ids, sizes, doc, n, packed, flagged in _batches(batches, extra=True):
+            pmi, rep = _bins(packed)
             if weights is None:
-                flag = _first_reading(ids, sizes, doc, n, t, pair_counts, word_counts, rep, **first)[doc]
+                flag = flagged[doc]
             else:
                 flag, share = _stretches(_scores(ids, pmi, rep, weights.value), sizes, doc, n, half)
                 flag = flag & (share > belongs)[doc]
@@ -261,37 +294,37 @@ def stuffed_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = df.schema[id_col].dataType.simpleString()
 
     def split(batches):
-        import re
-
-        find, cache = re.compile(TOKEN).finditer, {}
+        read = Tokenizer()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids, sizes, counts = tokenize(part.column(1).to_pylist(), cache, find)
+                ids, sizes, counts = read(part.column(1).to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.asarray(x, np.int32))) for x in (ids, sizes)]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, sizes)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=[id_col, "ids", "sizes"])
 
     tokens = ws.write(df.select(id_col, text_col).mapInArrow(split, f"`{id_col}` {id_type}, ids array<int>, sizes array<int>"), "tokens")
     tables = spark.sparkContext.broadcast(_corpus_tables(tokens))
-    first = {"collocation": collocation, "salad": salad, "links": links}
+    once = _read_once(tokens, tables, {"collocation": collocation, "salad": salad, "links": links}, id_col, id_type)
+    read_tokens = ws.write(once, "read")
+    ws.drop(tokens)
     weights = None
     for _ in range(rounds + 1):
-        learned = _learn(tokens, tables, weights, first, half_window, belongs)
+        learned = _learn(read_tokens, weights, half_window, belongs)
         if weights is not None:
             weights.unpersist()
         weights = spark.sparkContext.broadcast(learned)
 
     def read(batches):
-        for keys, ids, sizes, doc, n in _batches(batches):
-            pmi, rep, _, _ = _features(ids, doc, n, tables.value)
+        for keys, ids, sizes, doc, n, packed, _ in _batches(batches, extra=True):
+            pmi, rep = _bins(packed)
             _, share = _stretches(_scores(ids, pmi, rep, weights.value), sizes, doc, n, half_window)
             has = pmi < PMI_BINS
             pairs = np.bincount(doc[has], minlength=len(n))
             level = np.bincount(doc[has], weights=(pmi[has] - 4 + 0.5) * 1.5, minlength=len(n)) / np.maximum(pairs, 1)
             yield pa.RecordBatch.from_arrays([keys, pa.array(share), pa.array(level, mask=pairs == 0)], names=[id_col, "stuffed_share", "mean_pmi"])
 
-    return tokens.mapInArrow(read, f"`{id_col}` {id_type}, stuffed_share double, mean_pmi double")
+    return read_tokens.mapInArrow(read, f"`{id_col}` {id_type}, stuffed_share double, mean_pmi double")
 
 
 def stuffed_pages(df: DataFrame, id_col: str = "doc_id", least_share: float = 0.4, **params) -> DataFrame:
