@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.math import r6, ratio
 from tessera.functions.text import strip_ws, token_count
@@ -131,6 +132,30 @@ def compile_masker(variants: list[tuple[str, str]]):
     return mask
 
 
+def mask_entities(df: DataFrame, find: Callable[[str], list[tuple[int, int, str]]], text_col: str = "text") -> DataFrame:
+    """Adds ``masked`` by a recogniser that gives ``(start, end, class)`` spans of a text; off unless one is passed.
+
+    Spans are put in from the right, so earlier places stay valid; a span that holds a ``<``
+    (a placeholder already there) is left alone, as is one that overlaps a span to its right.
+    """
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            if isinstance(text, str):
+                end = len(text)
+                for a, b, cls in sorted(find(text), reverse=True):
+                    if a < b <= end and "<" not in text[a:b]:
+                        text = f"{text[:a]}<{cls}>{text[b:]}"
+                        end = a
+                text = " ".join(text.split())
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return df.withColumn("masked", run(text_col))
+
+
 def masking_report(df: DataFrame, masked: str = "masked", classes: tuple[str, ...] = ("PERSON", "TEAM", "PLACE")) -> DataFrame:
     """Sentences and occurrences of each placeholder; ``any`` counts texts with a ``<`` at all."""
     kinds = F.explode(F.array(*[F.lit(f"<{c}>") for c in classes], F.lit("any"))).alias("placeholder")

@@ -152,6 +152,26 @@ def session_bootstrap(sessions: DataFrame, replicates: int = 10_000, seed: int =
     return point.crossJoin(ci).select(r6(100 * F.col("h") / F.col("t"), 2).alias("coverage_pct"), r6(100 * F.col("q")[0], 2).alias("low"), r6(100 * F.col("q")[1], 2).alias("high"), "replicates")
 
 
+def cumulative_ci(scores: DataFrame, levels: int, replicates: int = 10_000, seed: int = 42) -> DataFrame:
+    """``(level, n, low, high)``: categories that at least ``level`` judges recover, with bootstrap intervals over categories.
+
+    ``scores(n_recovered)`` is one row a category.  Resampling categories makes each count
+    binomial in their number and share, so replicates need two numbers, not the categories.
+    """
+    at = F.explode(F.array(*[F.lit(k) for k in range(1, levels + 1)])).alias("level")
+    counted = scores.select("n_recovered", at).groupBy("level").agg(F.count_if(F.col("n_recovered") >= F.col("level")).alias("n"), F.count(F.lit(1)).alias("total"))
+
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for level, n, total in zip(pdf["level"], pdf["n"], pdf["total"]):
+                v = np.random.default_rng([seed, int(level)]).binomial(int(total), n / total, size=replicates)
+                rows.append((int(level), int(n), *np.percentile(v, [2.5, 97.5])))
+            yield pd.DataFrame(rows, columns=["level", "n", "low", "high"])
+
+    return counted.mapInPandas(draw, "level int, n long, low double, high double")
+
+
 def matched_length_null(counts: DataFrame, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Null of the primary share by event when as many sentences as the shorter register has are drawn from the longer one.
 

@@ -15,7 +15,7 @@ from tessera.operators import nulls as N
 from tessera.operators import registers as R
 from tessera.operators import vectors as V
 from tessera.plans.lineage import Workspace
-from tessera.queries.base import DOMAIN_SQL, V_SQL, Family, domain_of, vectors
+from tessera.queries.base import DOMAIN_SQL, V_SQL, Family, domain_of, sentences, vectors
 from tessera.queries.compose import _TWO, _edges
 from tessera.queries.diagnose import _BJ, _parts
 from tessera.queries.lexical import _TOP, _counts
@@ -158,3 +158,22 @@ def register_correspondence(spark, d):
     return R.relations(R.similarity_edges(cents, V.centroids(second)), th, float(pooled))
 
 
+@add()
+def cumulative_recovery_ci(spark, d):
+    """STT-20: categories recovered by at least so many pipelines, with intervals."""
+    from tessera.operators.diagnose import recovery
+    from tessera.queries.diagnose import _scores
+
+    return N.cumulative_ci(recovery(_scores(spark, d), ["run_id", "p1_cluster"]), 6)
+
+
+@add()
+def entity_spans(spark, d):
+    """TXT-06: the recogniser hook, here with runs of capitalised words inside a sentence."""
+    import re
+
+    from tessera.operators.corpus import mask_entities
+
+    pattern = re.compile(r"(?<=[a-z,] )[A-Z][a-z]+(?: [A-Z][a-z]+)*")
+    s = sentences(spark, d).select("sentence_id", "text")
+    return mask_entities(s, lambda t: [(m.start(), m.end(), "NAME") for m in pattern.finditer(t)]).select("sentence_id", "masked")

@@ -26,6 +26,17 @@ def test_mask_longest_first_with_possessive(spark):
     assert mask("Max Power's car and max's team") == "<TEAM> car and <PERSON>" and mask("maxi stays") == "maxi stays"
 
 
+def test_recogniser_spans_go_in_from_the_right(spark):
+    df = spark.createDataFrame([("ann met <TEAM> bob",), (None,)], "text string")
+    find = lambda t: [(0, 3, "P"), (4, 12, "Q"), (15, 18, "P"), (16, 18, "R")]
+    assert [r.masked for r in O.mask_entities(df, find).collect()] == ["<P> met <TEAM> b<R>", None]
+
+
+def test_cumulative_counts(spark):
+    got = {r.level: r for r in N.cumulative_ci(spark.createDataFrame([(k % 4,) for k in range(40)], "n_recovered long"), 3, 500).collect()}
+    assert [got[k].n for k in (1, 2, 3)] == [30, 20, 10] and all(r.low < r.n < r.high for r in got.values())
+
+
 def test_load_needs_text_and_numbers_rows(spark):
     df = spark.createDataFrame([(3, " a b "), (1, None), (2, "one two three")], "k long, text string")
     got = O.load_sentences(df, ["k"], min_tokens=2).orderBy("position").collect()
