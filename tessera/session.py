@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +32,18 @@ def build_session(app: str = "tessera", cores: str | int | None = None, **conf:
     spark = builder.config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, whatever their working folder and search path; once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        archive = os.path.join(folder, "tessera_package.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, f"tessera/{path.relative_to(root).as_posix()}")
+        sc.addPyFile(archive)
+    sc._tessera_shipped = True
