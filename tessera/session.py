@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -40,10 +42,11 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_tessera_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        archive = os.path.join(folder, "tessera_package.zip")
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for path in sorted(root.rglob("*.py")):
-                z.write(path, f"tessera/{path.relative_to(root).as_posix()}")
-        sc.addPyFile(archive)
+    folder = tempfile.mkdtemp(prefix="tessera-package-")  # the driver serves it as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "tessera_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, f"tessera/{path.relative_to(root).as_posix()}")
+    sc.addPyFile(archive)
     sc._tessera_shipped = True
