@@ -178,7 +178,7 @@ def regions(raw: np.ndarray, starts: np.ndarray, ix: PassageIndex, least: int, w
 
 
 def along(text: np.ndarray, passage: np.ndarray, part: tuple[int, int, int, int]) -> np.ndarray | None:
-    """Places of a region that is an exact copy on one diagonal, extended while characters are equal; None if it is not."""
+    """Places of a region that is an exact copy on one diagonal to an end of text or passage on both sides; None if it is not."""
     low, high, a, b = part
     if low != high or not np.array_equal(text[a:b], passage[a - low : b - low]):
         return None
@@ -186,6 +186,8 @@ def along(text: np.ndarray, passage: np.ndarray, part: tuple[int, int, int, int]
         a -= 1
     while b < len(text) and b - low < len(passage) and text[b] == passage[b - low]:
         b += 1
+    if (a > 0 and a - low > 0) or (b < len(text) and b - low < len(passage)):
+        return None  # beyond an edit there may be words too short for a q-gram
     out = np.full(len(passage), -1)
     out[a - low : b - low] = np.arange(a, b)
     return out

@@ -93,3 +93,16 @@ def test_length_decides(spark, n):
     docs = spark.createDataFrame([(1, FILL[9] + " " + copy(PASSAGES[11], 20, n) + " " + FILL[10])], "doc_id long, text string")
     items = spark.createDataFrame(list(enumerate(PASSAGES)), "item_id long, passage string")
     assert leaked_pairs(docs, items).count() == int(n >= 14)
+
+
+@pytest.mark.parametrize("front", [True, False])
+def test_short_tail_beyond_an_edit(spark, front):
+    tails = [k for k in range(4, 44) if 9 <= len("".join(PASSAGES[16].split()[k : k + 2] if front else PASSAGES[16].split()[k + 12 : k + 14])) <= 11]
+    rows = []
+    for k in tails:
+        w = copy(PASSAGES[16], k, 14).split()
+        w.insert(2 if front else 12, "xyq")
+        rows.append((k, FILL[11] + " " + " ".join(w) + " " + FILL[12]))
+    items = spark.createDataFrame(list(enumerate(PASSAGES)), "item_id long, passage string")
+    got = leaked_pairs(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert rows and {(r.doc_id, r.item_id) for r in got.collect()} == {(k, 16) for k in tails}
