@@ -3,9 +3,10 @@
 Texts and passages are reduced to their letters and digits (case, punctuation, spacing,
 markup, accents and invisible characters gone), so a leak is a run of characters that
 survives any reformatting.  By the q-gram lemma a region that is an edited copy shares a
-minimum of q-grams with the passage within a band of diagonals; regions below it are
-dropped, the rest are aligned in the band, and the words of the passage that align
-exactly decide.  Documents stream through once; only the index of the test items, whose
+minimum of q-grams with the passage within a band of diagonals, derived for each passage
+from the length and share that verification asks for; bands below it are dropped, as are
+passages too few of whose words stand in their bands.  The rest are aligned, and the words
+of the passage that align exactly decide.  Documents stream through once; only the index of the test items, whose
 size is checked, is broadcast, and larger item tables are taken in blocks.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 12
+Q, DRIFT, PAD = 8, 8, 60
 _MARKUP = re.compile(r"<[^<>]{0,200}>")
 _LETTERS = re.compile(r"[^\W_]+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +53,7 @@ def _bytes(parts: list[str]) -> np.ndarray:
 
 
 def qgram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hash of the 12 bytes from each position, by doubling."""
+    """Hash of the 8 bytes from each position, by doubling."""
     with np.errstate(over="ignore"):
         b2, b4 = _MIX * _MIX, _MIX * _MIX * _MIX * _MIX
         h1 = raw.astype(np.uint64) + np.uint64(1)
@@ -59,9 +61,7 @@ def qgram_hashes(raw: np.ndarray) -> np.ndarray:
             return np.zeros(0, np.uint64)
         h2 = h1[:-1] * _MIX + h1[1:]
         h4 = h2[:-2] * b2 + h2[2:]
-        h8 = h4[:-4] * b4 + h4[4:]
-        n = len(raw) - Q + 1
-        return (h8[:n] * b4 + h4[8 : 8 + n]) * _MIX
+        return (h4[:-4] * b4 + h4[4:]) * _MIX
 
 
 @dataclass
@@ -71,15 +71,36 @@ class PassageIndex:
     hashes: np.ndarray
     passage: np.ndarray
     place: np.ndarray
-    common: np.ndarray  # in how many passages the q-gram occurs
+    odd: np.ndarray  # whether the q-gram touches a rare word of its passage
     present: np.ndarray
     raw: list[np.ndarray]
     words: list[np.ndarray]
+    spelled: list[list[bytes]]
+    pairs: list[list[bytes]]  # neighbouring words written together
+    places: list[list[int]]  # where each pair begins
     rare: list[np.ndarray]  # by word: in three passages at most
+    short: list[list[bytes]]  # rare words no q-gram fits into
+    need: np.ndarray  # least q-grams a leak of the passage shares
+    sure: np.ndarray  # the same for a leak without rare words
     owners: list[list]
 
 
-def build_index(passages: list[str], owners: list[list]) -> PassageIndex:
+def shared_qgrams(sizes: np.ndarray, least_words: int, share: float, alike: float | None = None) -> int:
+    """Least q-grams shared by a passage of these word sizes and a text with ``share`` of ``least_words`` or more of its words.
+
+    Each word changed or put in costs the q-grams across it, a changed one its own as well; where
+    ``alike`` is given, only the rest of that share may be changed.  Longer spans hold a part
+    of ``least_words`` to twice as many words that is no worse, so these lengths suffice.
+    """
+    best = int(sizes.sum()) + 1
+    for n in range(least_words, min(len(sizes), 2 * least_words - 1) + 1):
+        edits, changed = (n - int(np.ceil(x * n - 1e-9)) for x in (share, alike or share))
+        w = np.sort(np.lib.stride_tricks.sliding_window_view(sizes, n), axis=1)
+        best = min(best, int((w[:, : n - changed].sum(1) - (Q - 1) * (edits + 1)).min()))
+    return max(1, best)
+
+
+def build_index(passages: list[str], owners: list[list], least_words: int = 14, share: float = 0.8) -> PassageIndex:
     squashed = [squash(p) for p in passages]
     raw = [np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in squashed]
     words = [word_of_char(p) for p in passages]
@@ -89,19 +110,24 @@ def build_index(passages: list[str], owners: list[list]) -> PassageIndex:
         for w in set(ws):
             held[w] = held.get(w, 0) + 1
     rare = [np.array([held[w] <= 3 and not w.isdigit() for w in ws], bool) for ws in spelled]
+    letters = [[r[a:b].tobytes() for a, b in _word_bounds(w)] for r, w in zip(raw, words)]
+    short = [[w for w, odd in zip(ws, r) if odd and len(w) < Q] for ws, r in zip(letters, rare)]
+    pairs = [[a + b for a, b in zip(ws, ws[1:])] for ws in letters]
+    places = [[a for a, _ in _word_bounds(w)][:-1] for w in words]
+    sizes = [np.array([len(w) for w in ws], int) for ws in letters]
+    need = np.array([shared_qgrams(x, least_words, share) for x in sizes], int)
+    sure = np.array([shared_qgrams(x, least_words, share, 0.95) for x in sizes], int)
     parts = [qgram_hashes(r) for r in raw]
+    touch = [np.convolve(r[w], np.ones(Q, int), "valid") > 0 if len(w) >= Q else np.zeros(0, bool) for r, w in zip(rare, words)]
     h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     pid = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     place = np.concatenate([np.arange(len(x)) for x in parts]) if parts else np.zeros(0, int)
     order = np.lexsort((pid, h))
+    odd = np.concatenate(touch)[order] if touch else np.zeros(0, bool)
     h, pid, place = h[order], pid[order], place[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (pid[1:] != pid[:-1])
-    group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1 if len(h) else np.zeros(0, int)
-    common = np.bincount(group, weights=new).astype(int)[group] if len(h) else np.zeros(0, int)
     present = np.zeros(1 << 22, bool)
     present[(h >> _SLOT).astype(np.int64)] = True
-    return PassageIndex(h, pid.astype(np.int32), place.astype(np.int32), common.astype(np.int32), present, raw, words, rare, owners)
+    return PassageIndex(h, pid.astype(np.int32), place.astype(np.int32), odd, present, raw, words, letters, pairs, places, rare, short, need, sure, owners)
 
 
 def _word_bounds(words: np.ndarray) -> list[tuple[int, int]]:
@@ -112,69 +138,95 @@ def _word_bounds(words: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
-def regions(raw: np.ndarray, starts: np.ndarray, ix: PassageIndex, least: int, window: int, band: int, sure: int, telling: int):
-    """Candidate regions ``(text, passage, low diagonal, high diagonal, from, to)`` of concatenated texts.
+def regions(raw: np.ndarray, starts: np.ndarray, ix: PassageIndex, band: int) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+    """Candidate regions ``(low diagonal, high diagonal, from, to)`` by text and passage of concatenated texts.
 
-    First the texts' stretches that hold ``least`` passage q-grams within ``window``, whatever
-    the passage; then, per passage, bands of diagonals with ``least`` shared q-grams of which
-    ``telling`` occur in two passages at most, or with ``sure`` of any kind.  Bands overlap by
-    half, so a run that drifts by less than half a band lies whole in one of them.
+    These are bands of diagonals that share with the passage the q-grams any leak of it must:
+    ``need`` of which one touches a rare word, or ``sure`` of any kind; where a rare word is
+    shorter than a q-gram, the letters of the text decide whether it may be there.  Bands overlap
+    by half, so a run that drifts by less than half a band lies whole in one of them.
     """
     h = qgram_hashes(raw)
     maybe = np.nonzero(ix.present[(h >> _SLOT).astype(np.int64)])[0]
     lo = np.searchsorted(ix.hashes, h[maybe])
-    hi = np.searchsorted(ix.hashes, h[maybe], side="right")
-    keep = hi > lo
-    maybe, lo, hi = maybe[keep], lo[keep], hi[keep]
-    if not len(maybe):
-        return []
-    hit = np.zeros(len(h) + 1, np.int32)
-    hit[maybe] = 1
-    total = np.concatenate([[0], np.cumsum(hit)])
-    ahead = np.minimum(np.arange(len(h)) + window, len(h))
-    dense = np.nonzero(total[ahead] - total[: len(h)] >= least)[0]
-    edge = np.zeros(len(h) + 1, np.int64)
-    np.add.at(edge, dense, 1)
-    np.add.at(edge, ahead[dense], -1)
-    near = np.cumsum(edge)[maybe] > 0
-    maybe, lo, hi = maybe[near], lo[near], hi[near]
-    n = hi - lo
+    n = np.searchsorted(ix.hashes, h[maybe], side="right") - lo
     if not n.sum():
-        return []
+        return {}
     at = np.repeat(maybe, n)
     entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     text = np.searchsorted(starts, at, side="right") - 1
-    pid, place, rare = ix.passage[entry].astype(np.int64), ix.place[entry], ix.common[entry] <= 2
-    diagonal = at - starts[text] - place + (1 << 20)
+    pid, odd = ix.passage[entry].astype(np.int64), ix.odd[entry]
+    where = at - starts[text]
+    diagonal = where - ix.place[entry] + (1 << 20)
     found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
     owner = (text.astype(np.int64) * len(ix.raw) + pid) << 33
+    letters: dict[int, bytes] = {}
     for shift in (0, band // 2):
         key = owner | ((diagonal + shift) // band)
-        uniq, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        told = np.bincount(inverse, weights=rare, minlength=len(uniq))
-        good = (count >= sure) | ((count >= least) & (told >= telling))
-        if not good.any():
-            continue
-        sel = np.nonzero(good[inverse])[0]
-        sel = sel[np.argsort(inverse[sel], kind="stable")]
-        cuts = np.concatenate([[0], np.nonzero(np.diff(inverse[sel]))[0] + 1, [len(sel)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            rows = sel[a:b]
-            d = diagonal[rows] - (1 << 20)
-            where = at[rows] - starts[text[rows[0]]]
-            found.setdefault((int(text[rows[0]]), int(pid[rows[0]])), []).append((int(d.min()), int(d.max()), int(where.min()), int(where.max()) + Q))
-    out = []
-    for (t, p), parts in found.items():
-        parts.sort()
-        merged = [list(parts[0])]
-        for d0, d1, a, b in parts[1:]:
-            m = merged[-1]
-            if d0 <= m[1] + 4:
-                m[1], m[2], m[3] = max(m[1], d1), min(m[2], a), max(m[3], b)
-            else:
-                merged.append([d0, d1, a, b])
-        out += [(t, p, *m) for m in merged]
-    return out
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        count = np.diff(np.append(first, len(key)))
+        t, p = np.divmod(key[first] >> 33, len(ix.raw))
+        told = np.logical_or.reduceat(odd[order], first)
+        good = (count >= ix.sure[p]) | ((count >= ix.need[p]) & told)
+        for k in np.nonzero(~good & (count >= ix.need[p]) & np.array([bool(x) for x in ix.short])[p])[0]:
+            a = int(t[k])
+            if a not in letters:
+                end = starts[a + 1] - 1 if a + 1 < len(starts) else len(raw)
+                letters[a] = raw[starts[a] : end].tobytes()
+            good[k] = any(w in letters[a] for w in ix.short[p[k]])
+        d, x = diagonal[order] - (1 << 20), where[order]
+        ends = (np.minimum.reduceat(d, first), np.maximum.reduceat(d, first), np.minimum.reduceat(x, first), np.maximum.reduceat(x, first) + Q)
+        for a, b, *part in zip(*(v[good].tolist() for v in (t, p, *ends))):
+            found.setdefault((a, b), []).append(tuple(part))
+    for key, parts in found.items():
+        if len(parts) > 1:
+            parts = sorted(set(parts), key=lambda r: (r[0], -r[1]))
+            found[key] = [r for r in parts if not any(o is not r and o[0] <= r[0] and r[1] <= o[1] and o[2] <= r[2] and r[3] <= o[3] for o in parts)]
+    return found
+
+
+def may_leak(text: bytes, parts: list[tuple[int, int, int, int]], ix: PassageIndex, p: int, least_words: int, share: float) -> bool:
+    """Can the words of passage ``p`` that stand in the bands make up a leak, whatever the alignment?
+
+    A word changed parts two pairs of neighbours and a word put in one, so a leak keeps a number
+    of pairs together in its band: in one stretch, or in pieces of four words or more that
+    hold half of their rare words, or all words where they have none.
+    """
+    words, pairs, places, rare, find = ix.spelled[p], ix.pairs[p], ix.places[p], ix.rare[p], text.find
+    held = np.zeros((len(parts), len(pairs)), bool)
+    for row, (low, high, a, b) in zip(held, parts):
+        i, j = bisect_left(places, a - PAD - high - DRIFT), bisect_left(places, b + PAD - low + DRIFT)
+        lo, hi = low - DRIFT, high + DRIFT
+        row[i:j] = [find(w, max(0, x + lo), max(0, x + hi + len(w))) >= 0 for w, x in zip(pairs[i:j], places[i:j])]
+    if held.any(axis=0).sum() < least_words // 4 * _kept(5, share):
+        return False
+    total = np.zeros((len(parts), len(words)), int)
+    total[:, 1:] = np.cumsum(held, axis=1)
+    for n in range(least_words, min(len(words), 2 * least_words - 1) + 1):
+        if (total[:, n - 1 :] - total[:, : len(words) - n + 1] >= _kept(n, share)).any():
+            return True
+    here = np.zeros((len(parts), len(words)), bool)
+    for row, (low, high, *_) in zip(here, parts):
+        for i in np.nonzero(rare)[0]:
+            x = places[i] if i < len(places) else len(ix.raw[p]) - len(words[i])
+            row[i] = find(words[i], max(0, x + low - DRIFT), max(0, x + high + DRIFT + len(words[i]))) >= 0
+    odd, met = np.concatenate([[0], np.cumsum(rare)]), np.zeros((len(parts), len(words) + 1), int)
+    met[:, 1:] = np.cumsum(here, axis=1)
+    cover = np.zeros((len(parts), len(words) + 1), int)
+    for n in range(4, min(len(words), least_words - 1) + 1):
+        kept, odds = total[:, n - 1 :] - total[:, : len(words) - n + 1], odd[n:] - odd[:-n]
+        named = (2 * (met[:, n:] - met[:, :-n]) >= odds) & (odds > 0) & (kept >= _kept(n, share))
+        ok = named | (odds == 0) & (kept >= n - 1 - (n - int(np.ceil(share * n - 1e-9))))
+        cover[:, : len(words) - n + 1] += ok
+        cover[:, n:] -= ok
+    return int((np.cumsum(cover, axis=1)[:, :-1] > 0).any(axis=0).sum()) >= least_words
+
+
+def _kept(n: int, share: float) -> int:
+    """Pairs of neighbours that ``n`` words keep together when ``share`` of them is equal."""
+    return n - 1 - 2 * (n - int(np.ceil(share * n - 1e-9)))
 
 
 def along(text: np.ndarray, passage: np.ndarray, part: tuple[int, int, int, int]) -> np.ndarray | None:
@@ -227,7 +279,7 @@ def align_many(tasks: list[tuple[np.ndarray, np.ndarray, int, int]], batch: int
             row[:, 0] = row[:, -1] = 0
             place += 1
         for i, k in enumerate(some):
-            out[k] = _best_path(score[:, i], *tasks[k][:3])
+            out[k] = _closed(_best_path(score[:, i], *tasks[k][:3]), *tasks[k][:2])
     return out
 
 
@@ -252,6 +304,23 @@ def _best_path(score: np.ndarray, text: np.ndarray, passage: np.ndarray, low: in
     return out
 
 
+def _closed(out: np.ndarray, text: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """Of paths that score the same, the one whose runs are not broken: a letter next to its run is not matched beyond an edit."""
+    taken = {int(x): i for i, x in enumerate(out) if x >= 0}
+    for step, order in ((1, range(1, len(out))), (-1, range(len(out) - 2, -1, -1))):
+        for i in order:
+            want = out[i - step] + step
+            if out[i - step] < 0 or out[i] >= 0 or not 0 <= want < len(text) or text[want] != passage[i]:
+                continue
+            other = taken.get(int(want))
+            if other is not None:
+                if 0 <= other + step < len(out) and out[other + step] == want + step:
+                    continue  # it belongs to the next run
+                out[other] = -1
+            out[i], taken[int(want)] = want, i
+    return out
+
+
 def word_runs(matched: np.ndarray, share: float, gap: int, least: int) -> list[tuple[int, int]]:
     """Longest disjoint spans of words that begin and end with a match, have at most ``gap`` misses in a row and ``share`` matches."""
     hits = np.nonzero(matched)[0]
@@ -273,12 +342,12 @@ def word_runs(matched: np.ndarray, share: float, gap: int, least: int) -> list[t
     return [*word_runs(left, share, gap, least), best, *word_runs(right, share, gap, least)]
 
 
-def task_of(part: tuple[int, int, int, int], text: np.ndarray, passage: np.ndarray, pad: int = 60) -> tuple[tuple, int, int]:
+def task_of(part: tuple[int, int, int, int], text: np.ndarray, passage: np.ndarray, pad: int = PAD) -> tuple[tuple, int, int]:
     """The alignment that verifies a region, with the offsets of its text and passage."""
     low, high, a, b = part
     a0, b0 = max(0, a - pad), min(len(text), b + pad)
-    p0, p1 = max(0, a0 - high - 8), min(len(passage), b0 - low + 8)
-    return (text[a0:b0], passage[p0:p1], low - 8 - a0 + p0, high + 8 - a0 + p0), a0, p0
+    p0, p1 = max(0, a0 - high - DRIFT), min(len(passage), b0 - low + DRIFT)
+    return (text[a0:b0], passage[p0:p1], low - DRIFT - a0 + p0, high + DRIFT - a0 + p0), a0, p0
 
 
 def longest_leak(aligned: list[tuple[np.ndarray, int, int]], ix: PassageIndex, p: int, least_words: int, share: float, gap: int) -> tuple[int, int]:
@@ -312,7 +381,7 @@ def longest_leak(aligned: list[tuple[np.ndarray, int, int]], ix: PassageIndex, p
     return best if best[0] >= least_words else (0, 0)
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", least_words: int = 14, share: float = 0.8, gap: int = 3, least: int = 18, window: int = 90, band: int = 32, sure: int = 50, telling: int = 8, index_chars: int = 20_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", least_words: int = 14, share: float = 0.8, gap: int = 3, band: int = 64, index_chars: int = 20_000_000) -> DataFrame:
     """``(id, item, n_words, n_matched)`` for each document and item whose passage it carries.
 
     A case holds ``least_words`` or more words of the passage in a row: ``share`` of them equal,
@@ -331,26 +400,31 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     out = None
     for k in range(blocks):
         part = usable.filter(F.pmod(F.xxhash64(passage_col), F.lit(blocks)) == k).groupBy(passage_col).agg(F.sort_array(F.collect_set(item_col)).alias("owners")).toPandas()
-        shared = spark.sparkContext.broadcast(build_index(part[passage_col].tolist(), [list(x) for x in part["owners"]]))
+        shared = spark.sparkContext.broadcast(build_index(part[passage_col].tolist(), [list(x) for x in part["owners"]], least_words, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 1500):
-                    ids, texts = batch.column(0).slice(at, 1500), [squash(t) for t in batch.column(1).slice(at, 1500).to_pylist()]
+                for at in range(0, batch.num_rows, 400):
+                    ids, texts = batch.column(0).slice(at, 400), [squash(t) for t in batch.column(1).slice(at, 400).to_pylist()]
                     raw = _bytes(texts)
                     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
-                    found = regions(raw, starts, ix, least, window, band, sure, telling)
                     by: dict[tuple[int, int], list] = {}
                     unclear, tasks = [], []
-                    for t, p, *part in found:
+                    letters: dict[int, bytes] = {}
+                    for (t, p), parts in regions(raw, starts, ix, band).items():
                         text = raw[starts[t] : starts[t] + len(texts[t])]
-                        exact = along(text, ix.raw[p], part)
-                        if exact is None:
-                            unclear.append((t, p))
-                            tasks.append(task_of(part, text, ix.raw[p]))
-                        else:
-                            by.setdefault((t, p), []).append((exact, 0, 0))
+                        if t not in letters:
+                            letters[t] = text.tobytes()
+                        if not may_leak(letters[t], parts, ix, p, least_words, share):
+                            continue
+                        for part in parts:
+                            exact = along(text, ix.raw[p], part)
+                            if exact is None:
+                                unclear.append((t, p))
+                                tasks.append(task_of(part, text, ix.raw[p]))
+                            else:
+                                by.setdefault((t, p), []).append((exact, 0, 0))
                     for key, (_, a0, p0), got in zip(unclear, tasks, align_many([x[0] for x in tasks])):
                         by.setdefault(key, []).append((got, a0, p0))
                     rows = []

@@ -95,6 +95,20 @@ def test_length_decides(spark, n):
     assert leaked_pairs(docs, items).count() == int(n >= 14)
 
 
+def test_every_window_with_two_words_changed(spark):
+    items = spark.createDataFrame(list(enumerate(PASSAGES)), "item_id long, passage string")
+    rows, want = [], set()
+    for p in range(12, 16):
+        for a in range(47):
+            w = copy(PASSAGES[p], a, 14).split()
+            w[4], w[9] = "xyqqh", "whhqyx"
+            rows.append((len(rows), FILL[a] + " " + " ".join(w) + " " + FILL[a + 1]))
+            want.add((rows[-1][0], p))
+    got = {(r.doc_id, r.item_id) for r in leaked_pairs(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    # the alignment itself does not cross an edit longer than the words beyond it
+    assert got <= want and len(want - got) <= 3
+
+
 @pytest.mark.parametrize("front", [True, False])
 def test_short_tail_beyond_an_edit(spark, front):
     tails = [k for k in range(4, 44) if 9 <= len("".join(PASSAGES[16].split()[k : k + 2] if front else PASSAGES[16].split()[k + 12 : k + 14])) <= 11]
