@@ -443,3 +443,12 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def leaked_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", **params) -> DataFrame:
     """The distinct ``(document, item)`` pairs of ``leaked_items``."""
     return leaked_items(docs, items, id_col=id_col, item_col=item_col, **params).select(id_col, item_col).distinct()
+
+
+def leaked_fields(docs: DataFrame, items: DataFrame, fields: dict[str, int], **params) -> DataFrame:
+    """``leaked_items`` of several text columns of the items, each with its ``least_words``; column ``field`` names the text."""
+    out = None
+    for name, least_words in fields.items():
+        found = leaked_items(docs, items, passage_col=name, least_words=least_words, **params).withColumn("field", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import encode_corpus
 from tessera.llm.consensus import consensus_letters, rater_reliability
-from tessera.llm.contamination import leaked_items, leaked_pairs
+from tessera.llm.contamination import leaked_fields, leaked_pairs
 from tessera.llm.frequency import marked_values, term_frequency
 from tessera.llm.names import entities, same_entity
 from tessera.llm.pivot import same_incident, theme_clusters
@@ -72,7 +72,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaked_fields(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), {"passage": 14, "question": 8})  # questions have 8 to 12 words
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,14 @@ def test_short_tail_beyond_an_edit(spark, front):
     items = spark.createDataFrame(list(enumerate(PASSAGES)), "item_id long, passage string")
     got = leaked_pairs(spark.createDataFrame(rows, "doc_id long, text string"), items)
     assert rows and {(r.doc_id, r.item_id) for r in got.collect()} == {(k, 16) for k in tails}
+
+
+def test_p7_leaks_searches_questions(spark, tmp_path):
+    from tessera.llm.queries import p7_leaks
+
+    items = [(k, PASSAGES[k], copy(PASSAGES[k + 10], 5, 8 + k % 4)) for k in range(8)]
+    spark.createDataFrame(items, "item_id long, passage string, question string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    docs = [(k, FILL[k] + " " + q + " " + FILL[k + 9]) for k, _, q in items] + [(20, PASSAGES[0]), (21, FILL[30])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.item_id, r.field) for r in p7_leaks(spark, str(tmp_path)).collect()}
+    assert got == {(k, k, "question") for k in range(8)} | {(20, 0, "passage")}
