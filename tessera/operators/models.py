@@ -14,6 +14,8 @@ from tessera.operators import kernels as K
 
 #: Rows a density or hierarchy kernel is fitted on at most; every further row is predicted.
 FIT_ROWS = 20_000
+#: The same for the judges other than k-means, whose kernels hold full tables of distances.
+JUDGE_ROWS = 3000
 
 
 class Encoder(Protocol):
@@ -137,9 +139,13 @@ def kmeans_best(df: DataFrame, k: int, restarts: int = 10, seed: int = 42, id_co
 
 
 def judge_partitions(df: DataFrame, k: int, smallest: int, id_col: str = "id", limit: int = FIT_ROWS) -> DataFrame:
-    """``(judge, id, label)`` of alternative models on the fit rows: Ward, OPTICS, neighbour-graph communities, k-means."""
+    """``(judge, id, label)`` of alternative models: Ward, OPTICS, neighbour-graph communities, k-means.
+
+    All but k-means are fitted on at most ``JUDGE_ROWS`` rows; every further row gets the label
+    of the nearest fitted row, so all judges label all rows.
+    """
     spark = df.sparkSession
-    ids, x, _ = _fit_rows(df, id_col, min(limit, 3000))
+    ids, x, more = _fit_rows(df, id_col, min(limit, JUDGE_ROWS))
     shared = spark.sparkContext.broadcast(x)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +163,24 @@ def judge_partitions(df: DataFrame, k: int, smallest: int, id_col: str = "id", l
 
     names = spark.createDataFrame([("ward",), ("optics",), ("communities",)], "judge string").repartition(3, "judge")
     alt = names.mapInPandas(run, f"judge string, `{id_col}` bigint, label int")
+    if more:
+        # the labels of the fit rows, at most JUDGE_ROWS for each judge
+        pdf = alt.toPandas().sort_values(["judge", id_col])
+        fitted = spark.sparkContext.broadcast((ids, x, {j: g["label"].to_numpy() for j, g in pdf.groupby("judge")}))
+
+        def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            f_ids, f_x, f_labels = fitted.value
+            own = {i: k for k, i in enumerate(f_ids.tolist())}
+            for pdf in batches:
+                new, here = np.array(pdf["proj"].tolist(), float), pdf[id_col].to_numpy()
+                for at in range(0, len(here), 1024):
+                    part = here[at : at + 1024]
+                    near = K.pairwise(new[at : at + 1024], f_x).argmin(1)
+                    near = np.array([own.get(i, k) for i, k in zip(part.tolist(), near.tolist())])
+                    for judge, labels in f_labels.items():
+                        yield pd.DataFrame({"judge": judge, id_col: part, "label": labels[near].astype("int32")})
+
+        alt = df.select(id_col, "proj").mapInPandas(predict, f"judge string, `{id_col}` bigint, label int")
     return alt.unionByName(kmeans_best(df, k, id_col=id_col).select(F.lit("kmeans").alias("judge"), id_col, "label"))
 
 

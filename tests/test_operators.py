@@ -234,3 +234,14 @@ def test_universality_keeps_both_definitions(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0), ("c", -1), ("a", 1)], "session string, label int")
     got = {r.cluster: (r.universal, r.universal_clustered) for r in R.universality(df).collect()}
     assert got == {0: (False, True), 1: (False, False)}
+
+
+def test_judges_label_rows_beyond_the_fit(spark):
+    from tessera.operators.models import judge_partitions
+
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(0, 0.1, 2) + [8.0 * (i % 3), 0]).tolist()) for i in range(120)]
+    got = judge_partitions(spark.createDataFrame(rows, "id bigint, proj array<double>"), 3, 9, limit=60).toPandas()
+    assert got.groupby("judge")["id"].nunique().to_dict() == {j: 120 for j in ("ward", "optics", "communities", "kmeans")} and len(got) == 480
+    ward = got[got["judge"] == "ward"].set_index("id")["label"]
+    assert all(ward[ward.index % 3 == k].nunique() == 1 for k in range(3)) and ward.nunique() == 3
