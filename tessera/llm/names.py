@@ -351,7 +351,8 @@ def link_entries(gazetteer: DataFrame, lexicon: Lexicon | None = None) -> DataFr
         left, right = form_a.to_dict("records"), form_b.to_dict("records")
         return pd.Series([same_form(x, y, w) for x, y, w in zip(left, right, weak)], dtype=bool)
 
-    links = ws.write(pairs.filter(verified("form_a", "form_b", "weak")).groupBy("id_a", "id_b").agg(F.min("weak").alias("weak")), "links")
+    near = ws.write(pairs.filter(verified("form_a", "form_b", "weak")).select("weak", "id_a", "id_b", "fid_a", "fid_b"), "verified")
+    links = ws.write(near.groupBy("id_a", "id_b").agg(F.min("weak").alias("weak")), "links")
     strong_keys = keyed.filter(~F.col("weak")).select("entry_id", "category", "key", "fid")
     heads = first.filter(~F.col("weak")).select("key", "fid", F.col("category").alias("head_category"), F.col("entry_id").alias("head"))
     equal = strong_keys.join(heads, ["key", "fid"]).filter("entry_id <> head").filter("category is null or head_category is null or category = head_category")
@@ -362,10 +363,18 @@ def link_entries(gazetteer: DataFrame, lexicon: Lexicon | None = None) -> DataFr
     # an entry that never gives a given name joins the one entity its family name and initial fit
     sure = keyed.filter(F.col("form.shape") != "w").select("entry_id").distinct()
     loose = keyed.filter(F.col("form.shape") == "w").select("entry_id").distinct().join(sure, "entry_id", "left_anti")
-    weak = links.filter("weak").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"))
-    both = weak.unionByName(weak.select(F.col("y").alias("x"), F.col("x").alias("y"))).join(loose, F.col("x") == F.col("entry_id"), "left_semi")
-    named = both.join(entity.select(F.col("id").alias("y"), "component"), "y", "left").select("x", "y", F.coalesce("component", "y").alias("component"))
-    only = named.groupBy("x").agg(F.min("component").alias("component"), F.max("component").alias("other"), F.min("y").alias("y")).filter("component = other")
+    weak = near.filter("weak").select(F.col("fid_a").alias("fid"), F.col("id_a").alias("head"), F.col("id_b").alias("y"))
+    weak = weak.unionByName(near.filter("weak").select(F.col("fid_b").alias("fid"), F.col("id_b").alias("head"), F.col("id_a").alias("y")))
+    # every holder of a form has the links of the entry that stands for it, and that entry itself
+    holders = keyed.filter("weak").select("entry_id", "category", "fid").distinct()
+    tops = holders.groupBy("fid", "category").agg(F.min("entry_id").alias("head")).withColumnRenamed("fid", "top_fid").withColumnRenamed("category", "top_category")
+    held = ws.write(holders.join(loose, "entry_id", "left_semi").join(tops, (F.col("fid") == F.col("top_fid")) & F.col("category").eqNullSafe(F.col("top_category"))).select(F.col("entry_id").alias("x"), "fid", "head"), "held")
+    both = held.join(weak, ["fid", "head"]).select("x", "y").unionByName(held.select("x", F.col("head").alias("y"))).filter("x <> y").distinct()
+    named = both.join(entity.select(F.col("id").alias("y"), "component"), "y", "left").join(sure.select(F.col("entry_id").alias("y"), F.lit(True).alias("given")), "y", "left")
+    named = named.select("x", "y", F.coalesce("component", "y").alias("component"), F.coalesce("given", F.lit(False)).alias("given"))
+    # other loose entries count only where no entry with a given name fits
+    best = named.groupBy("x").agg(F.max("given").alias("given"))
+    only = named.join(best, ["x", "given"]).groupBy("x").agg(F.min("component").alias("component"), F.max("component").alias("other"), F.min("y").alias("y")).filter("component = other")
     extra = only.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return strong.unionByName(extra).distinct().select(F.col("id_a").alias("entry_id_a"), F.col("id_b").alias("entry_id_b"))
 

@@ -67,3 +67,11 @@ def test_parser_reads_orders():
         f = p.person(name)[0]
         assert f["a"] == "sainougrek" and "eleanor" in f["b"], name
     assert p.organisation("RAKRAIBRUSCIRCUIT")["a"] == "rakraibrus" and p.organisation("Nobody Here") is None
+
+
+def test_entries_without_a_given_name_all_join_the_one_entity(spark):
+    names = ["Walter Gaijaipeind", "W. Gaijaipeind", "W. Gaijaipeind", "W. Gaijaipeind", "Gaijaipeind", "W. Gaijapeind"]
+    names += ["Robert Hipouburt", "Rachel Hipouburt", "R. Hipouburt", "R. Hipouburt"]
+    got = {r.entry_id: r.entity for r in entities(spark.createDataFrame([(i, n, "PERSON", None, "") for i, n in enumerate(names, 1)], SCHEMA)).collect()}
+    assert {got[i] for i in range(1, 7)} == {1}
+    assert not {got[9], got[10]} & {got[7], got[8]} and got[7] != got[8]
