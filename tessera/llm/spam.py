@@ -1,293 +1,212 @@
-"""Keyword-stuffed pages, link lists and tag lists.
-
-Corpus counts of words and of neighbouring words give every pair its pointwise mutual
-information, always without the document at hand.  A first reading flags pages whose
-neighbouring words are incoherent (low information while the words keep repeating), pages
-in which one collocation is repeated excessively, and pages of links.  From those pages
-and all others a likelihood ratio is learned for words, for levels of information between
-neighbours and for levels of repetition; each page is then read token by token with a
-moving window, and the share of its characters that lies in stuffed stretches decides.
-Learning and reading alternate a fixed number of times.
-
-All statistics live in hashed tables of a fixed size, so what is broadcast and what the
-driver sees does not grow with the data, and no pass shuffles texts or words.
+"""Keyword-stuffed pages, link lists and tag lists, told by the information between neighbouring words.
+
+Corpus counts of words and of neighbouring pairs, always without the page at hand, give
+every pair of neighbours its pointwise mutual information: how much likelier the second
+word is after the first than by itself.  "By itself" is its share of the corpus plus its
+repeated share of the page, so a word that comes again and again needs a neighbour that
+calls for it.  Where the mean over a window is low, the words are a salad or one
+collocation repeated beyond what language asks for; in sentences it is high.  Links, tags
+and prices are one word each that no neighbour calls for; numbers part their neighbours.
+
+A mean of no information at all is salad whatever the words.  Between that and the level of
+sentences lie tables of names and glossaries too; there a window must also read like the
+surely incoherent pages of the corpus rather than like the rest, by the likelihood ratio of
+its words.  The page's share of characters in such windows decides.
+
+Counts are exact sums by key.  Words and pairs below a share of all tokens count as
+unseen, which bounds what is broadcast whatever the size of the corpus; texts are read
+once and no pass shuffles them.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import Workspace
 
-WORD_BITS, PAIR_BITS = 18, 20
-WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
-URL, TAG, PRICE, NUMBER, MARK = (WORDS + k for k in range(5))
+MARK, NUMBER, PRICE, TAG, URL, WORD = 0, 1, 2, 3, 4, 16  # words are hashes from WORD on
 URLS = r"(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@.])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,12}(?:/[^\s<>\"')\]]*)?(?![\w.])"
-TAGS, PRICES, NUMBERS = r"#\w[\w-]*", r"[$€£]\d+(?:[.,]\d+)*", r"\d+(?:[.:,]\d+)*"
+TAGS, PRICES, NUMBERS = r"#(?=[\w-]*[^\W\d])[\w-]+", r"[$€£]\d+(?:[.,]\d+)*", r"#?\d+(?:[.:,]\d+)*"
 TOKEN = f"{URLS}|{TAGS}|{PRICES}|{NUMBERS}" + r"|[^\W\d_]+(?:['’-][^\W\d_]+)*|[^\w\s]+|_+"
 KINDS = ((NUMBERS, NUMBER), (PRICES, PRICE), (TAGS, TAG), (URLS, URL))
-PMI_BINS, REP_BINS = 9, 5
-
-
-@dataclass
-class Tables:
-    """Corpus statistics by hash: word tokens, documents, tokens of documents with the word; pair tokens, documents."""
-
-    words: np.ndarray
-    word_docs: np.ndarray
-    word_span: np.ndarray
-    pairs: np.ndarray
-    pair_docs: np.ndarray
-    tokens: float
-    docs: float
-
-
-@dataclass
-class Weights:
-    """Log likelihood ratios of stuffed against other text."""
-
-    words: np.ndarray
-    pmi: np.ndarray
-    rep: np.ndarray
+_MOST = 3.0  # nats either way that one pair or word may tell
 
 
 def token_id(token: str) -> int:
-    """Word bucket of a token, or the id of the kind it is of; what a token is shows in itself."""
+    """Hash of a word, or the number of the kind a token is of."""
     for pattern, kind in KINDS:
         if re.fullmatch(pattern, token):
             return kind
-    return zlib.crc32(token.encode()) & (WORDS - 1) if token[0].isalpha() else MARK
+    return max(WORD, xxhash.xxh64_intdigest(token) >> 1) if token[0].isalpha() else MARK
 
 
 class Tokenizer:
-    """Hashed tokens of texts, a stretch without white space at a time; stretches seen before are looked up."""
+    """Ids and sizes of the tokens of texts, a stretch without white space at a time; stretches seen before are looked up."""
 
     def __init__(self, cache_limit: int = 500_000):
         self._find, self._limit = re.compile(TOKEN).findall, cache_limit
-        self._cache: dict[str, list[int]] = {}
+        self._cache: dict[str, tuple[list[int], list[int]]] = {}
 
-    def _read(self, stretch: str) -> list[int]:
-        packed = [token_id(t) << 20 | min(len(t), (1 << 20) - 1) for t in self._find(stretch)]
+    def _read(self, stretch: str) -> tuple[list[int], list[int]]:
+        found = self._find(stretch)
+        got = [token_id(t) for t in found], [len(t) for t in found]
         if len(stretch) <= 64:
             if len(self._cache) >= self._limit:
                 self._cache.clear()
-            self._cache[stretch] = packed
-        return packed
+            self._cache[stretch] = got
+        return got
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    def __call__(self, texts: list[str | None]) -> tuple[list[int], list[int], list[int]]:
         """Ids and lengths in characters of all tokens, and the number of tokens of each text."""
-        get, packed, counts = self._cache.get, [], []
+        get, ids, sizes, counts = self._cache.get, [], [], []
         for text in texts:
-            before = len(packed)
+            before = len(ids)
             for stretch in (text or "").lower().split():
-                got = get(stretch)
-                packed += self._read(stretch) if got is None else got
-            counts.append(len(packed) - before)
-        flat = np.asarray(packed, np.int64)
-        return (flat >> 20).astype(np.int32), (flat & ((1 << 20) - 1)).astype(np.int32), counts
+                i, s = get(stretch) or self._read(stretch)
+                ids += i
+                sizes += s
+            counts.append(len(ids) - before)
+        return ids, sizes, counts
 
 
-def _pairs(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of words followed by a word of the same text (punctuation between is skipped) and the pairs' hashes."""
-    at = np.nonzero(ids != MARK)[0]
-    a, b = at[:-1], at[1:]
-    ok = (ids[a] < WORDS) & (ids[b] < WORDS) & (doc[a] == doc[b])
-    a, b = a[ok], b[ok]
-    mixed = (ids[a].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[b].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return a, ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def _within(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, key): text, key, count, and each element's index among them."""
-    both = doc.astype(np.int64) << 24 | keys
-    uniq, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
-    return uniq >> 24, uniq & ((1 << 24) - 1), count, inverse
-
-
-def _features(ids: np.ndarray, doc: np.ndarray, n_tokens: np.ndarray, t: Tables):
-    """Bins of information with the next word and of repetition (last bin: does not apply), and the pair counts."""
-    pmi, rep = np.full(len(ids), PMI_BINS), np.full(len(ids), REP_BINS)
-    is_word = np.nonzero(ids < WORDS)[0]
-    d, key, count, inv = _within(ids[is_word].astype(np.int64), doc[is_word])
-    rate = (t.words[key] - count + 1) / np.maximum(t.word_span[key] - n_tokens[d] + 150, 1)
-    ratio = count / (n_tokens[d] * rate + 1)
-    rep[is_word] = np.clip(np.floor(np.log2(np.maximum(ratio, 1))), 0, REP_BINS - 1).astype(int)[inv]
-    own = np.zeros(len(ids))
-    own[is_word] = count[inv]
-    at, pair = _pairs(ids, doc)
-    pd_, pkey, pcount, pinv = _within(pair, doc[at])
-    if len(at):
-        follows = np.searchsorted(is_word, at, side="right")
-        nxt = is_word[np.minimum(follows, len(is_word) - 1)]
-        left, right = t.words[ids[at]] - own[at] + 1, t.words[ids[nxt]] - own[nxt] + 1
-        joint = np.maximum(t.pairs[pair] - pcount[pinv], 0) + 0.05
-        value = np.log(joint * t.tokens / (np.maximum(left, 1) * np.maximum(right, 1)))
-        pmi[at] = np.clip(np.floor(value / 1.5), -4, 4).astype(int) + 4
-    return pmi, rep, (pd_, pkey, pcount), (d, key, count)
-
-
-def _first_reading(ids, sizes, doc, n_tokens, t: Tables, pair_counts, word_counts, rep, collocation: float, salad: float, links: float) -> np.ndarray:
-    """Texts that are surely stuffed: an excessive collocation, incoherent repetition, or links."""
-    m = len(n_tokens)
-    n_words = np.bincount(doc[ids < WORDS], minlength=m)
-    top = np.zeros(m)
-    d, key, count = pair_counts
-    special = (t.pair_docs[key] < 0.1 * t.docs) & (count >= 5)
-    np.maximum.at(top, d[special], count[special])
-    repeated = np.bincount(doc[(rep >= 2) & (rep < REP_BINS)], minlength=m).astype(float)
-    wd, wkey, wcount = word_counts
-    most = np.zeros(m)
-    rate = (t.words[wkey] - wcount + 1) / np.maximum(t.word_span[wkey] - n_tokens[wd] + 150, 1)
-    often = wcount / (n_tokens[wd] * rate + 1) >= 4
-    np.maximum.at(most, wd[often], wcount[often])
-    chars = np.maximum(np.bincount(doc, weights=sizes, minlength=m), 1)
-    linked = np.bincount(doc, weights=sizes * (ids == URL), minlength=m)
-    least = np.maximum(n_words, 20)
-    return (2 * top / least >= collocation) | ((repeated - most) / least >= salad) | (linked / chars >= links)
-
-
-def _stretches(score: np.ndarray, sizes: np.ndarray, doc: np.ndarray, n_tokens: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens whose window scores as stuffed, and each text's share of characters in them."""
-    start = np.concatenate([[0], np.cumsum(n_tokens)])
-    total = np.concatenate([[0.0], np.cumsum(score)])
-    i = np.arange(len(score))
-    lo, hi = np.maximum(i - half, start[doc]), np.minimum(i + half + 1, start[doc + 1])
-    flag = total[hi] - total[lo] > 0
-    m = len(n_tokens)
-    return flag, np.bincount(doc, weights=sizes * flag, minlength=m) / np.maximum(np.bincount(doc, weights=sizes, minlength=m), 1)
+class Counts:
+    """Sorted keys with one number each; 0 for keys that are not there."""
 
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(np.float32)
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int = 500_000, extra: bool = False):
-    """Columns of hashed tokens as flat arrays: keys, ids, sizes, text index, tokens of each text, and bins and flags if ``extra``."""
-    for batch in batches:
-        lists = batch.column(1)
-        n = np.asarray(pc.list_value_length(lists).fill_null(0))
-        cut = np.cumsum(n) // most
-        for part in np.unique(cut):
-            rows = np.nonzero(cut == part)[0]
-            sub = batch.slice(rows[0], rows[-1] - rows[0] + 1)
-            size = n[rows[0] : rows[-1] + 1]
-            ids, sizes = (np.asarray(sub.column(k).flatten()).astype(np.int64) for k in (1, 2))
-            more = (np.asarray(sub.column(3).flatten()).astype(np.int64), np.asarray(sub.column(4).to_numpy(zero_copy_only=False), bool)) if extra else ()
-            yield sub.column(0), ids, sizes, np.repeat(np.arange(len(size)), size), size, *more
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], 0).astype(float)
 
 
-def _sum_tables(rows: DataFrame, shape: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
-    """Sum ``(kind, bucket, a, b, c)`` over all tasks; the result's size is that of the tables."""
-    out = {kind: np.zeros((n, cols)) for kind, (n, cols) in shape.items()}
-    summed = rows.groupBy("kind", "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")).toArrow()
-    kind, bucket = np.asarray(summed["kind"]), np.asarray(summed["bucket"])
-    values = np.stack([np.asarray(summed[c]) for c in "abc"], axis=1) if len(kind) else np.zeros((0, 3))
-    for k, table in out.items():
-        at = kind == k
-        table[bucket[at]] = values[at][:, : table.shape[1]]
-    return out
+def neighbours(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first and second tokens of all neighbouring pairs: marks between do not count, a number parts them."""
+    at = np.nonzero(ids != MARK)[0]
+    a, b = at[:-1], at[1:]
+    ok = (ids[a] != NUMBER) & (ids[b] != NUMBER) & (doc[a] == doc[b])
+    return a[ok], b[ok]
 
 
-_SUMS = "kind int, bucket int, a double, b double, c double"
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ x >> np.uint64(32)).astype(np.int64)
 
 
-def _emit(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for kind, table in tables.items():
-        at = np.nonzero(table.any(axis=1))[0]
-        full = np.zeros((len(at), 3))
-        full[:, : table.shape[1]] = table[at]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), *(pa.array(full[:, c]) for c in range(3))], names=["kind", "bucket", "a", "b", "c"])
+def _own(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each element: how often its text holds its key, and its key's index among the distinct keys, which come third."""
+    uniq, index = np.unique(keys, return_inverse=True)
+    _, inverse, count = np.unique(doc.astype(np.int64) * max(1, len(uniq)) + index, return_inverse=True, return_counts=True)
+    return count[inverse].astype(float), index, uniq
 
 
-def _corpus_tables(tokens: DataFrame) -> Tables:
-    def run(batches):
-        sums = {0: np.zeros((WORDS, 3)), 1: np.zeros((PAIRS, 2)), 2: np.zeros((1, 2))}
-        for _, ids, _, doc, n in _batches(batches):
-            is_word = ids < WORDS
-            d, key, count, _ = _within(ids[is_word], doc[is_word])
-            sums[0][:, 0] += np.bincount(key, weights=count, minlength=WORDS)
-            sums[0][:, 1] += np.bincount(key, minlength=WORDS)
-            sums[0][:, 2] += np.bincount(key, weights=n[d], minlength=WORDS)
-            at, pair = _pairs(ids, doc)
-            _, pkey, pcount, _ = _within(pair, doc[at])
-            sums[1][:, 0] += np.bincount(pkey, weights=pcount, minlength=PAIRS)
-            sums[1][:, 1] += np.bincount(pkey, minlength=PAIRS)
-            sums[2] += [len(ids), len(n)]
-        yield from _emit(sums)
+def information(ids: np.ndarray, doc: np.ndarray, words: Counts, pairs: Counts, tokens: float, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the second tokens of all pairs, and the pairs' pointwise mutual information in nats.
 
-    got = _sum_tables(tokens.mapInArrow(run, _SUMS), {0: (WORDS, 3), 1: (PAIRS, 2), 2: (1, 2)})
-    w, p = got[0], got[1]
-    return Tables(*(x.astype(np.float32) for x in (w[:, 0], w[:, 1], w[:, 2], p[:, 0], p[:, 1])), max(1.0, got[2][0, 0]), max(1.0, got[2][0, 1]))
+    The share of a word after its neighbour is that of the corpus without the page, drawn to
+    the word's overall share with ``weight``; it is compared with the overall share plus the
+    share of the page that repeats the word.
+    """
+    a, b = neighbours(ids, doc)
+    if not len(a):
+        return b, np.zeros(0)
+    n = np.bincount(doc[ids != MARK], minlength=doc[-1] + 1).astype(float)[doc[b]]
+    own, index, uniq = _own(ids, doc)
+    rest = np.maximum(words.of(uniq)[index] - own, 0)
+    joint, pair_index, pair_uniq = _own(pair_keys(ids[a], ids[b]), doc[b])
+    both = np.maximum(pairs.of(pair_uniq)[pair_index] - joint, 0)
+    overall = (rest[b] + 0.5) / np.maximum(tokens - n, 1)
+    after = np.where(ids[b] < WORD, overall, (both + weight * overall) / (np.maximum(rest[a], both) + weight))
+    return b, np.clip(np.log(after / (overall + (own[b] - 1) / n)), -_MOST, _MOST)
+
+
+def _window(values: np.ndarray, doc: np.ndarray, n_tokens: np.ndarray, half: int) -> np.ndarray:
+    """Sum of ``values`` over the window around each token of its text."""
+    start = np.concatenate([[0], np.cumsum(n_tokens)])
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    i = np.arange(len(values))
+    return total[np.minimum(i + half + 1, start[doc + 1])] - total[np.maximum(i - half, start[doc])]
 
 
-def _scores(ids: np.ndarray, pmi: np.ndarray, rep: np.ndarray, w: Weights) -> np.ndarray:
-    return w.words[ids] + w.pmi[pmi] + w.rep[rep]
+def coherence(at: np.ndarray, value: np.ndarray, doc: np.ndarray, n_tokens: np.ndarray, half: int) -> np.ndarray:
+    """Mean information of the pairs in the window around each token; infinite where there are fewer than four."""
+    m = len(doc)
+    pairs = _window(np.bincount(at, minlength=m).astype(float), doc, n_tokens, half)
+    total = _window(np.bincount(at, weights=value, minlength=m), doc, n_tokens, half)
+    return np.where(pairs >= 4, total / np.maximum(pairs, 1), np.inf)
 
 
-def _read_once(tokens: DataFrame, tables, first: dict, id_col: str, id_type: str) -> DataFrame:
-    """Tokens with their bins, and whether the first reading flags the text; they do not depend on what is learned."""
+def _share(flag: np.ndarray, sizes: np.ndarray, doc: np.ndarray, m: int) -> np.ndarray:
+    return np.bincount(doc, weights=sizes * flag, minlength=m) / np.maximum(np.bincount(doc, weights=sizes, minlength=m), 1)
 
-    def run(batches):
-        t = tables.value
-        for keys, ids, sizes, doc, n in _batches(batches):
-            pmi, rep, pair_counts, word_counts = _features(ids, doc, n, t)
-            flag = _first_reading(ids, sizes, doc, n, t, pair_counts, word_counts, rep, **first)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, sizes, pmi * (REP_BINS + 1) + rep)]
-            yield pa.RecordBatch.from_arrays([keys, *lists, pa.array(flag)], names=[id_col, "ids", "sizes", "bins", "flagged"])
 
-    return tokens.mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, sizes array<int>, bins array<int>, flagged boolean")
+def _batches(batches: Iterator[pa.RecordBatch], most: int = 500_000):
+    """Columns of tokens as flat arrays: keys, ids, sizes, text index, tokens of each text."""
+    for batch in batches:
+        lists = batch.column(1)
+        n = np.asarray(pc.list_value_length(lists).fill_null(0))
+        cut = np.cumsum(n) // most
+        for part in np.unique(cut):
+            rows = np.nonzero(cut == part)[0]
+            sub = batch.slice(rows[0], rows[-1] - rows[0] + 1)
+            size = n[rows[0] : rows[-1] + 1]
+            ids, sizes = (np.asarray(sub.column(k).flatten()).astype(np.int64) for k in (1, 2))
+            yield sub.column(0), ids, sizes, np.repeat(np.arange(len(size)), size), size
+
 
+_SUMS = "kind int, key bigint, a double, b double"
 
-def _bins(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return packed // (REP_BINS + 1), packed % (REP_BINS + 1)
 
+def _rows(kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+    b = np.zeros(len(keys)) if b is None else b
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(a.astype(float)), pa.array(b.astype(float))], names=["kind", "key", "a", "b"])
 
-def _learn(tokens: DataFrame, weights, half: int, belongs: float) -> Weights:
-    """One round of learning: from the first reading, or from stretches under the current weights."""
+
+def corpus_counts(ws: Workspace, tokens: DataFrame, least_share: float) -> tuple[Counts, Counts, float]:
+    """Counts of words and of neighbouring pairs of at least ``least_share`` of all tokens (and 2), and the number of tokens."""
 
     def run(batches):
-        sums = {0: np.zeros((WORDS + 5, 2)), 1: np.zeros((PMI_BINS + 1, 2)), 2: np.zeros((REP_BINS + 1, 2))}
-        for _, ids, sizes, doc, n, packed, flagged in _batches(batches, extra=True):
-            pmi, rep = _bins(packed)
-            if weights is None:
-                flag = flagged[doc]
-            else:
-                flag, share = _stretches(_scores(ids, pmi, rep, weights.value), sizes, doc, n, half)
-                flag = flag & (share > belongs)[doc]
-            for kind, values in enumerate((ids, pmi, rep)):
-                for k, at in enumerate((~flag, flag)):
-                    sums[kind][:, k] += np.bincount(values[at], minlength=len(sums[kind]))
-        yield from _emit(sums)
-
-    got = _sum_tables(tokens.mapInArrow(run, _SUMS), {0: (WORDS + 5, 2), 1: (PMI_BINS + 1, 2), 2: (REP_BINS + 1, 2)})
-
-    def ratio(x: np.ndarray, smooth: float, bound: float) -> np.ndarray:
-        x = x + smooth
-        p = np.log(x[:, 1] / x[:, 1].sum()) - np.log(x[:, 0] / x[:, 0].sum())
-        return np.clip(p, -bound, bound).astype(np.float32)
-
-    counted = got[0]
-    words = np.log((counted[:, 1] + 0.5) / (counted[:, 1].sum() + 1)) - np.log((counted[:, 0] + 0.5) / (counted[:, 0].sum() + 1))
-    words = np.where(counted.sum(axis=1) > 0, np.clip(words, -3, 3), 0).astype(np.float32)
-    words[[NUMBER, MARK]] = 0
-    pmi, rep = ratio(got[1], 1, 1.5), ratio(got[2], 1, 1.5)
-    pmi[PMI_BINS], rep[REP_BINS] = 0, 0
-    return Weights(words, pmi, rep)
-
-
-def stuffed_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, half_window: int = 10, collocation: float = 0.3, salad: float = 0.35, links: float = 0.5, belongs: float = 0.3) -> DataFrame:
+        for _, ids, _, doc, _ in _batches(batches):
+            said = ids[ids != MARK]
+            yield _rows(0, *np.unique(said, return_counts=True))
+            a, b = neighbours(ids, doc)
+            yield _rows(1, *np.unique(pair_keys(ids[a], ids[b]), return_counts=True))
+            yield _rows(2, np.zeros(1, np.int64), np.array([len(said)]))
+
+    summed = ws.write(tokens.mapInArrow(run, _SUMS).groupBy("kind", "key").agg(F.sum("a").alias("a")), "counts")
+    total = summed.filter("kind = 2").agg(F.sum("a").alias("n")).first()["n"] or 0.0
+    # at most 1 / least_share words and as many pairs can pass
+    kept = summed.filter((F.col("kind") < 2) & (F.col("a") >= max(2.0, least_share * total))).toArrow()
+    kind, key, n = (np.asarray(kept[c]) for c in ("kind", "key", "a"))
+    ws.drop(summed)
+    return Counts(key[kind == 0], n[kind == 0]), Counts(key[kind == 1], n[kind == 1]), max(1.0, total)
+
+
+def stuffed_shares(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 5e-7, weight: float = 10.0,
+    sure: float = 0.7, sure_half: int = 12, salad: float = 0.0, least: float = 1.3, half: int = 16,
+) -> DataFrame:
     """``(id, stuffed_share, mean_pmi)`` of every row.
 
-    ``stuffed_share`` is the share of characters (white space aside) in stuffed stretches, 0
-    for null, empty and word-less texts; ``mean_pmi`` is the mean level of information
-    between neighbouring words in nats, to the width of a bin, null without pairs.  Each row
-    is read whole and by itself; repeated rows each get a row, null ids stay null.
+    ``stuffed_share`` is the share of characters (white space aside) in stuffed windows, 0
+    for null, empty and word-less texts; ``mean_pmi`` is the page's mean information between
+    neighbours in nats, null without pairs.  Pages most of which lies below ``sure`` in
+    windows of ``sure_half`` tokens to each side teach which words are stuffing; a window of
+    ``half`` is stuffed if its mean lies below ``salad``, or below ``least`` and its words read
+    so.  Each row is read whole; repeated rows each get a row, null ids stay null.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "stuffed")
@@ -300,37 +219,44 @@ def stuffed_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(at, 1000)
                 ids, sizes, counts = read(part.column(1).to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, sizes)]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((ids, pa.int64()), (sizes, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=[id_col, "ids", "sizes"])
 
-    tokens = ws.write(df.select(id_col, text_col).mapInArrow(split, f"`{id_col}` {id_type}, ids array<int>, sizes array<int>"), "tokens")
-    tables = spark.sparkContext.broadcast(_corpus_tables(tokens))
-    once = _read_once(tokens, tables, {"collocation": collocation, "salad": salad, "links": links}, id_col, id_type)
-    read_tokens = ws.write(once, "read")
-    ws.drop(tokens)
-    weights = None
-    for _ in range(rounds + 1):
-        learned = _learn(read_tokens, weights, half_window, belongs)
-        if weights is not None:
-            weights.unpersist()
-        weights = spark.sparkContext.broadcast(learned)
+    tokens = ws.write(df.select(id_col, text_col).mapInArrow(split, f"`{id_col}` {id_type}, ids array<bigint>, sizes array<int>"), "tokens")
+    shared = spark.sparkContext.broadcast(corpus_counts(ws, tokens, least_share))
+
+    def learn(batches):
+        words, pairs, total = shared.value
+        for _, ids, sizes, doc, n in _batches(batches):
+            at, value = information(ids, doc, words, pairs, total, weight)
+            flag = coherence(at, value, doc, n, sure_half) < sure
+            flag &= (_share(flag, sizes, doc, len(n)) > 0.5)[doc]
+            said = ids != MARK
+            uniq, index = np.unique(ids[said], return_inverse=True)
+            yield _rows(0, uniq, *(np.bincount(index, weights=x[said], minlength=len(uniq)) for x in (flag, ~flag)))
+
+    summed = ws.write(tokens.mapInArrow(learn, _SUMS).groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "learned")
+    stuffed, other = summed.agg(F.coalesce(F.sum("a"), F.lit(0.0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()
+    known = summed.filter(F.col("a") + F.col("b") >= max(2.0, least_share * (stuffed + other))).toArrow()
+    a, b = (np.asarray(known[c]) for c in ("a", "b"))
+    ratio = np.log((a + 0.5) / (stuffed + 1)) - np.log((b + 0.5) / (other + 1))
+    told = spark.sparkContext.broadcast(Counts(np.asarray(known["key"]), np.clip(ratio, -_MOST, _MOST)))
 
     def read(batches):
-        for keys, ids, sizes, doc, n, packed, _ in _batches(batches, extra=True):
-            pmi, rep = _bins(packed)
-            _, share = _stretches(_scores(ids, pmi, rep, weights.value), sizes, doc, n, half_window)
-            has = pmi < PMI_BINS
-            pairs = np.bincount(doc[has], minlength=len(n))
-            level = np.bincount(doc[has], weights=(pmi[has] - 4 + 0.5) * 1.5, minlength=len(n)) / np.maximum(pairs, 1)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(share), pa.array(level, mask=pairs == 0)], names=[id_col, "stuffed_share", "mean_pmi"])
-
-    return read_tokens.mapInArrow(read, f"`{id_col}` {id_type}, stuffed_share double, mean_pmi double")
+        words, pairs, total = shared.value
+        for keys, ids, sizes, doc, n in _batches(batches):
+            at, value = information(ids, doc, words, pairs, total, weight)
+            uniq, index = np.unique(ids, return_inverse=True)
+            reads = told.value.of(uniq)[index] if len(ids) else np.zeros(0)
+            mean = coherence(at, value, doc, n, half)
+            flag = (mean < salad) | (mean < least) & (_window(reads, doc, n, half) > 0)
+            count = np.bincount(doc[at], minlength=len(n))
+            level = np.bincount(doc[at], weights=value, minlength=len(n)) / np.maximum(count, 1)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(_share(flag, sizes, doc, len(n))), pa.array(level, mask=count == 0)], names=[id_col, "stuffed_share", "mean_pmi"])
 
+    return tokens.mapInArrow(read, f"`{id_col}` {id_type}, stuffed_share double, mean_pmi double")
 
-def stuffed_pages(df: DataFrame, id_col: str = "doc_id", least_share: float = 0.4, **params) -> DataFrame:
-    """Ids of the rows most of whose characters are stuffed keywords, link lists or tags.
 
-    ``least_share`` lies below one half because names and places between the keywords of a
-    stuffed stretch are not all counted in; ordinary texts stay below a fifth.
-    """
-    return stuffed_shares(df, id_col, **params).filter((F.col("stuffed_share") > least_share) & F.col(id_col).isNotNull()).select(id_col)
+def stuffed_pages(df: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+    """Ids of the rows most of whose characters are stuffed keywords, link lists or tags; null ids have none."""
+    return stuffed_shares(df, id_col, **params).filter((F.col("stuffed_share") > 0.5) & F.col(id_col).isNotNull()).select(id_col)
