@@ -6,7 +6,8 @@ word is after the first than by itself.  "By itself" is its share of the corpus
 repeated share of the page, so a word that comes again and again needs a neighbour that
 calls for it.  Where the mean over a window is low, the words are a salad or one
 collocation repeated beyond what language asks for; in sentences it is high.  Links, tags
-and prices are one word each that no neighbour calls for; numbers part their neighbours.
+and prices are one word each that no neighbour calls for; numbers part their neighbours and
+tell something themselves.
 
 A mean of no information at all is salad whatever the words.  Between that and the level of
 sentences lie tables of names and glossaries too; there a window must also read like the
@@ -38,6 +39,7 @@ TAGS, PRICES, NUMBERS = r"#(?=[\w-]*[^\W\d])[\w-]+", r"[$€£]\d+(?:[.,]\d+)*",
 TOKEN = f"{URLS}|{TAGS}|{PRICES}|{NUMBERS}" + r"|[^\W\d_]+(?:['’-][^\W\d_]+)*|[^\w\s]+|_+"
 KINDS = ((NUMBERS, NUMBER), (PRICES, PRICE), (TAGS, TAG), (URLS, URL))
 _MOST = 3.0  # nats either way that one pair or word may tell
+_FACT = 2.0  # nats of a number, about those of a pair in a sentence: results and charts state something in each row
 
 
 def token_id(token: str) -> int:
@@ -114,15 +116,16 @@ def _own(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def information(ids: np.ndarray, doc: np.ndarray, words: Counts, pairs: Counts, tokens: float, weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the second tokens of all pairs, and the pairs' pointwise mutual information in nats.
+    """Positions of the second tokens of all pairs and of the numbers, and their information in nats.
 
     The share of a word after its neighbour is that of the corpus without the page, drawn to
     the word's overall share with ``weight``; it is compared with the overall share plus the
-    share of the page that repeats the word.
+    share of the page that repeats the word.  A number has ``_FACT``.
     """
     a, b = neighbours(ids, doc)
+    facts = np.nonzero(ids == NUMBER)[0]
     if not len(a):
-        return b, np.zeros(0)
+        return facts, np.full(len(facts), _FACT)
     n = np.bincount(doc[ids != MARK], minlength=doc[-1] + 1).astype(float)[doc[b]]
     own, index, uniq = _own(ids, doc)
     rest = np.maximum(words.of(uniq)[index] - own, 0)
@@ -130,7 +133,8 @@ def information(ids: np.ndarray, doc: np.ndarray, words: Counts, pairs: Counts,
     both = np.maximum(pairs.of(pair_uniq)[pair_index] - joint, 0)
     overall = (rest[b] + 0.5) / np.maximum(tokens - n, 1)
     after = np.where(ids[b] < WORD, overall, (both + weight * overall) / (np.maximum(rest[a], both) + weight))
-    return b, np.clip(np.log(after / (overall + (own[b] - 1) / n)), -_MOST, _MOST)
+    value = np.clip(np.log(after / (overall + (own[b] - 1) / n)), -_MOST, _MOST)
+    return np.concatenate([b, facts]), np.concatenate([value, np.full(len(facts), _FACT)])
 
 
 def _window(values: np.ndarray, doc: np.ndarray, n_tokens: np.ndarray, half: int) -> np.ndarray:
