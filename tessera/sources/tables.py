@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import Workspace
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan of one input table; filters and column selections push into it."""
@@ -20,3 +22,17 @@ def one_delivery(df: DataFrame, *key: str) -> DataFrame:
     """
     odd = F.when(F.greatest(*[F.col(k).isNull() for k in key]) if len(key) > 1 else F.col(key[0]).isNull(), F.monotonically_increasing_id())
     return df.withColumn("__odd", odd).dropDuplicates([*key, "__odd"]).drop("__odd")
+
+
+def single_deliveries(df: DataFrame, *key: str) -> DataFrame:
+    """``one_delivery`` for wide rows: only the keys are shuffled.
+
+    The keys that occur again are written first, so that the planner knows their size and
+    broadcasts them if they are few; rows of other keys stream through, and only the rows
+    of repeated keys are de-duplicated.  Rows with a null in the key all stay.
+    """
+    keys = df.select(*key).dropna().groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*key)
+    repeated = Workspace(df.sparkSession, "repeated").write(keys, "keys")
+    alone = df.join(repeated, list(key), "left_anti").select(df.columns)
+    again = df.join(repeated, list(key), "left_semi").select(df.columns).dropDuplicates(list(key))
+    return alone.unionByName(again)

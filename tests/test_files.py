@@ -80,3 +80,13 @@ def test_streaming_coverage(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.session, r.n, r.covered) for r in spark.sql("select * from cov").collect()) == [("s0", 10, 10), ("s1", 10, 10)]
+
+
+def test_single_deliveries_are_those_of_one_delivery(spark):
+    from tessera.sources.tables import one_delivery, single_deliveries
+
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (2, "a", "z"), (None, "a", "n"), (None, "a", "n"), (3, None, "m")]
+    df = spark.createDataFrame(rows, "k int, l string, text string").repartition(3)
+    got = sorted(map(tuple, single_deliveries(df, "k", "l").collect()), key=str)
+    assert got == sorted(map(tuple, one_delivery(df, "k", "l").collect()), key=str) and len(got) == 6
+    assert single_deliveries(df, "k").count() == 5 and single_deliveries(df.limit(0), "k").count() == 0
