@@ -38,10 +38,9 @@ TOKEN = r"<\w+>|[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
 
 
 def tokens(text: Column) -> Column:
-    """Words and marks of a text in lower case, genitive endings off, a word said again at once dropped."""
-    raw = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    base = F.transform(raw, lambda x: F.regexp_replace(x, r"(?<=.)['’]s$", ""))
-    return F.filter(base, lambda x, i: (i == 0) | (x != F.element_at(base, F.greatest(i, F.lit(1)))))
+    """Words and marks of a text in lower case, genitive endings off."""
+    plain = F.regexp_replace(F.lower(text), r"(?<=[\p{L}\p{N}])['’]s(?![\p{L}\p{N}])", "")
+    return F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
 
 
 def _hash(word: str) -> int:
@@ -69,7 +68,7 @@ def particulars(ws: Workspace, rows: DataFrame, most_share: float = 0.006, phras
     # with the words of an average record, at most that many over the share can pass each of the filters
     known = ws.write(held.filter(F.col("n") >= phrase_share * total), "frequent")
     two = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.element_at("w", i + 2).alias("b")))
-    pairs = words.select(F.explode(F.array_distinct(two)).alias("p")).select("p.*").filter(_worded(F.col("a")) & _worded(F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = words.select(F.explode(F.array_distinct(two)).alias("p")).select("p.*").filter((F.col("a") != F.col("b")) & _worded(F.col("a")) & _worded(F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.filter(F.col("n") >= phrase_share * total).join(known.select(F.col("word").alias("a"), F.col("n").alias("n_a")), "a").join(known.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
     common = {r["word"] for r in known.filter(F.col("n") > 0.05 * total).select("word").collect()}
     frequent = {r["word"] for r in known.filter(F.col("n") > most_share * total).select("word").collect()}
@@ -84,6 +83,8 @@ def particulars(ws: Workspace, rows: DataFrame, most_share: float = 0.006, phras
             for id_, found in zip(pdf["id"], pdf["w"]):
                 stretch, last, at, prev, seen = 0, False, 0, "", {}
                 for x in found:
+                    if x == prev:
+                        continue  # said again at once
                     joined = bound.get((prev, x), 0)
                     telling = x[0].isalpha() and x not in often
                     stretch += not (joined or last and telling)
