@@ -24,7 +24,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,12 +77,12 @@ def particulars(ws: Workspace, rows: DataFrame, most_share: float = 0.006, phras
     together = {(r["a"], r["b"]): r["n"] for r in pairs.filter("5 * n >= least(n_a, n_b)").collect() if r["a"] not in common and r["b"] not in common}
     shared = spark.sparkContext.broadcast((frequent, together, most_share * total))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, bound, most = shared.value
         number: dict[str, int] = {}
-        for pdf in batches:
+        for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
             out = []
-            for id_, found in zip(pdf["id"], pdf["w"]):
+            for row, found in enumerate(batch.column(1).to_pylist()):
                 stretch, last, at, prev, seen = 0, False, 0, "", {}
                 for x in found:
                     if x == prev:
@@ -97,13 +99,15 @@ def particulars(ws: Workspace, rows: DataFrame, most_share: float = 0.006, phras
                                     number.clear()
                                 h = number[word] = _hash(word)
                             seen[word] = at
-                            out.append((id_, at, stretch, h))
+                            out.append((row, at, stretch, h))
                             at += 1
                     prev, last = x, telling
-            yield pd.DataFrame(out, columns=["id", "at", "stretch", "word"])
+            got = np.array(out, np.int64).reshape(-1, 4)
+            rest = [pa.array(got[:, 1].astype(np.int32)), pa.array(got[:, 2].astype(np.int32)), pa.array(got[:, 3])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(got[:, 0])), *rest], names=["id", "at", "stretch", "word"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    found = ws.write(words.mapInPandas(read, f"id {id_type}, at int, stretch int, word bigint"), "found")
+    found = ws.write(words.mapInArrow(read, f"id {id_type}, at int, stretch int, word bigint"), "found")
     counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= most_share * total))
     return found.join(counted, "word").select("id", "at", "stretch", "word", (F.lit(math.log(total)) - F.log("n")).alias("weight"))
 
