@@ -48,12 +48,12 @@ def word_of_char(text: str) -> np.ndarray:
     return np.repeat(np.arange(len(spaced.split())), [len(w) for w in spaced.split()])
 
 
-def _bytes(parts: list[str]) -> np.ndarray:
-    return np.frombuffer("\x00".join(parts).encode("latin-1", "replace"), np.uint8)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def qgram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hash of the 8 bytes from each position, by doubling."""
+    """Hash of the 8 characters from each position, by doubling."""
     with np.errstate(over="ignore"):
         b2, b4 = _MIX * _MIX, _MIX * _MIX * _MIX * _MIX
         h1 = raw.astype(np.uint64) + np.uint64(1)
@@ -75,11 +75,12 @@ class PassageIndex:
     present: np.ndarray
     raw: list[np.ndarray]
     words: list[np.ndarray]
-    spelled: list[list[bytes]]
-    pairs: list[list[bytes]]  # neighbouring words written together
+    text: list[str]
+    spelled: list[list[str]]
+    pairs: list[list[str]]  # neighbouring words written together
     places: list[list[int]]  # where each pair begins
     rare: list[np.ndarray]  # by word: in three passages at most
-    short: list[list[bytes]]  # rare words no q-gram fits into
+    short: list[list[str]]  # rare words no q-gram fits into
     need: np.ndarray  # least q-grams a leak of the passage shares
     sure: np.ndarray  # the same for a leak without rare words
     owners: list[list]
@@ -102,7 +103,7 @@ def shared_qgrams(sizes: np.ndarray, least_words: int, share: float, alike: floa
 
 def build_index(passages: list[str], owners: list[list], least_words: int = 14, share: float = 0.8) -> PassageIndex:
     squashed = [squash(p) for p in passages]
-    raw = [np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in squashed]
+    raw = [code_points(s) for s in squashed]
     words = [word_of_char(p) for p in passages]
     spelled = [[s[a:b] for a, b in _word_bounds(w)] for s, w in zip(squashed, words)]
     held: dict[str, int] = {}
@@ -110,11 +111,10 @@ def build_index(passages: list[str], owners: list[list], least_words: int = 14,
         for w in set(ws):
             held[w] = held.get(w, 0) + 1
     rare = [np.array([held[w] <= 3 and not w.isdigit() for w in ws], bool) for ws in spelled]
-    letters = [[r[a:b].tobytes() for a, b in _word_bounds(w)] for r, w in zip(raw, words)]
-    short = [[w for w, odd in zip(ws, r) if odd and len(w) < Q] for ws, r in zip(letters, rare)]
-    pairs = [[a + b for a, b in zip(ws, ws[1:])] for ws in letters]
+    short = [[w for w, odd in zip(ws, r) if odd and len(w) < Q] for ws, r in zip(spelled, rare)]
+    pairs = [[a + b for a, b in zip(ws, ws[1:])] for ws in spelled]
     places = [[a for a, _ in _word_bounds(w)][:-1] for w in words]
-    sizes = [np.array([len(w) for w in ws], int) for ws in letters]
+    sizes = [np.array([len(w) for w in ws], int) for ws in spelled]
     need = np.array([shared_qgrams(x, least_words, share) for x in sizes], int)
     sure = np.array([shared_qgrams(x, least_words, share, 0.95) for x in sizes], int)
     parts = [qgram_hashes(r) for r in raw]
@@ -127,7 +127,7 @@ def build_index(passages: list[str], owners: list[list], least_words: int = 14,
     h, pid, place = h[order], pid[order], place[order]
     present = np.zeros(1 << 22, bool)
     present[(h >> _SLOT).astype(np.int64)] = True
-    return PassageIndex(h, pid.astype(np.int32), place.astype(np.int32), odd, present, raw, words, letters, pairs, places, rare, short, need, sure, owners)
+    return PassageIndex(h, pid.astype(np.int32), place.astype(np.int32), odd, present, raw, words, squashed, spelled, pairs, places, rare, short, need, sure, owners)
 
 
 def _word_bounds(words: np.ndarray) -> list[tuple[int, int]]:
@@ -138,7 +138,7 @@ def _word_bounds(words: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
-def regions(raw: np.ndarray, starts: np.ndarray, ix: PassageIndex, band: int) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+def regions(raw: np.ndarray, texts: list[str], starts: np.ndarray, ix: PassageIndex, band: int) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
     """Candidate regions ``(low diagonal, high diagonal, from, to)`` by text and passage of concatenated texts.
 
     These are bands of diagonals that share with the passage the q-grams any leak of it must:
@@ -158,27 +158,29 @@ def regions(raw: np.ndarray, starts: np.ndarray, ix: PassageIndex, band: int) ->
     pid, odd = ix.passage[entry].astype(np.int64), ix.odd[entry]
     where = at - starts[text]
     diagonal = where - ix.place[entry] + (1 << 20)
+    pair = text.astype(np.int64) * len(ix.raw) + pid
+    # a pair's hits come before its bands: most pairs have too few
+    uniq, index, size = np.unique(pair, return_inverse=True, return_counts=True)
+    stay = (size >= ix.need[uniq % len(ix.raw)])[index]
+    odd, where, diagonal, owner = odd[stay], where[stay], diagonal[stay], pair[stay] << 33
+    short = np.array([bool(x) for x in ix.short])
     found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-    owner = (text.astype(np.int64) * len(ix.raw) + pid) << 33
-    letters: dict[int, bytes] = {}
     for shift in (0, band // 2):
         key = owner | ((diagonal + shift) // band)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, int)
+        if not len(first):
+            continue
         count = np.diff(np.append(first, len(key)))
         t, p = np.divmod(key[first] >> 33, len(ix.raw))
         told = np.logical_or.reduceat(odd[order], first)
         good = (count >= ix.sure[p]) | ((count >= ix.need[p]) & told)
-        for k in np.nonzero(~good & (count >= ix.need[p]) & np.array([bool(x) for x in ix.short])[p])[0]:
-            a = int(t[k])
-            if a not in letters:
-                end = starts[a + 1] - 1 if a + 1 < len(starts) else len(raw)
-                letters[a] = raw[starts[a] : end].tobytes()
-            good[k] = any(w in letters[a] for w in ix.short[p[k]])
+        for k in np.nonzero(~good & (count >= ix.need[p]) & short[p])[0]:
+            good[k] = any(w in texts[t[k]] for w in ix.short[p[k]])
         d, x = diagonal[order] - (1 << 20), where[order]
         ends = (np.minimum.reduceat(d, first), np.maximum.reduceat(d, first), np.minimum.reduceat(x, first), np.maximum.reduceat(x, first) + Q)
-        for a, b, *part in zip(*(v[good].tolist() for v in (t, p, *ends))):
+        for a, b, *part in np.stack([v[good] for v in (t, p, *ends)], axis=1).tolist():
             found.setdefault((a, b), []).append(tuple(part))
     for key, parts in found.items():
         if len(parts) > 1:
@@ -187,7 +189,7 @@ def regions(raw: np.ndarray, starts: np.ndarray, ix: PassageIndex, band: int) ->
     return found
 
 
-def may_leak(text: bytes, parts: list[tuple[int, int, int, int]], ix: PassageIndex, p: int, least_words: int, share: float) -> bool:
+def may_leak(text: str, parts: list[tuple[int, int, int, int]], ix: PassageIndex, p: int, least_words: int, share: float) -> bool:
     """Can the words of passage ``p`` that stand in the bands make up a leak, whatever the alignment?
 
     A word changed parts two pairs of neighbours and a word put in one, so a leak keeps a number
@@ -259,7 +261,7 @@ def align_many(tasks: list[tuple[np.ndarray, np.ndarray, int, int]], batch: int
         n, rows = len(some), max(len(tasks[k][1]) for k in some)
         width = max(tasks[k][3] - tasks[k][2] + 1 for k in some)
         reach = max(len(tasks[k][0]) for k in some)
-        text, passage = np.full((n, reach + 1), -1, np.int16), np.full((n, rows), -2, np.int16)
+        text, passage = np.full((n, reach + 1), -1, np.int32), np.full((n, rows), -2, np.int32)
         low, size = np.zeros((n, 1), np.int64), np.zeros((n, 1), np.int64)
         wide = np.zeros((n, width), bool)
         for i, k in enumerate(some):
@@ -407,17 +409,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             for batch in batches:
                 for at in range(0, batch.num_rows, 400):
                     ids, texts = batch.column(0).slice(at, 400), [squash(t) for t in batch.column(1).slice(at, 400).to_pylist()]
-                    raw = _bytes(texts)
+                    raw = code_points("\x00".join(texts))
                     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
                     by: dict[tuple[int, int], list] = {}
                     unclear, tasks = [], []
-                    letters: dict[int, bytes] = {}
-                    for (t, p), parts in regions(raw, starts, ix, band).items():
-                        text = raw[starts[t] : starts[t] + len(texts[t])]
-                        if t not in letters:
-                            letters[t] = text.tobytes()
-                        if not may_leak(letters[t], parts, ix, p, least_words, share):
+                    for (t, p), parts in regions(raw, texts, starts, ix, band).items():
+                        if not may_leak(texts[t], parts, ix, p, least_words, share):
                             continue
+                        text = raw[starts[t] : starts[t] + len(texts[t])]
                         for part in parts:
                             exact = along(text, ix.raw[p], part)
                             if exact is None:

@@ -131,3 +131,26 @@ def test_p7_leaks_searches_questions(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.item_id, r.field) for r in p7_leaks(spark, str(tmp_path)).collect()}
     assert got == {(k, k, "question") for k in range(8)} | {(20, 0, "passage")}
+
+
+RUSSIAN = "на старте гонки дождь усилился и пилоты выехали на промежуточных шинах потому что трасса у моста совсем не сохла до самого финиша".split()
+CHINESE = "比赛开始之前雨下得更大所有车手都换上了中性胎因为桥边的赛道直到终点都没有干过"
+OTHER = "вчера вечером повар приготовил густой суп из свежей рыбы и позвал соседей к столу хотя никто из них давно уже не приходил".split()
+
+
+def test_letters_of_other_scripts_are_letters(spark):
+    spaced = " ".join(CHINESE[k : k + 2] for k in range(0, len(CHINESE), 2))
+    items = spark.createDataFrame([(1, " ".join(RUSSIAN)), (2, spaced), (3, PASSAGES[0])], "item_id long, passage string")
+    changed = [w if k != 9 else "гонщики" for k, w in enumerate(RUSSIAN)]
+    docs = [(1, " ".join(OTHER)), (2, "Итак: " + " ".join(RUSSIAN[2:19]).upper() + "!"), (3, " ".join(changed)), (4, FILL[0] + CHINESE), (5, CHINESE[::-1]), (6, " ".join(OTHER) + spaced[: len(spaced) // 4])]
+    got = {(r.doc_id, r.item_id) for r in leaked_pairs(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(2, 1), (3, 1), (4, 2)}
+
+
+def test_short_words_with_one_changed(spark):
+    words = "a kid in the pit saw it go by at ten to six as we sat on"
+    items = spark.createDataFrame([(1, words + ". " + PASSAGES[0])], "item_id long, passage string")
+    w = words.split()
+    docs = [(k, FILL[1] + " " + " ".join(x if i != k else "zzzzz" for i, x in enumerate(w)) + " " + FILL[2]) for k in range(3, 14)]
+    got = {r.doc_id for r in leaked_pairs(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {k for k, _ in docs}
