@@ -2,10 +2,12 @@
 
 Every name of an entry is parsed into what it is about (a person's family name and given
 name, an organisation's or place's core and kind, or an epithet) and into flags that keep
-entities apart (junior, academy, north, south).  Names are blocked by phonetic codes of
-their sorted parts, with one code per letter that may be wrong; candidates are verified by
-Jaro-Winkler similarity and edit distance of the parts, with nicknames standing for given
-names; accepted pairs of entries are clustered by connected components.
+entities apart (junior, academy, north, south).  Which words are kinds (racing, park) and
+which given names is learned from the entries; a name without a kind is all core.  Names
+are blocked by phonetic codes of their sorted tokens, with one code per letter that may be
+wrong; candidates are verified by Jaro-Winkler similarity and edit distance of the parts,
+with nicknames standing for given names; accepted pairs of entries are clustered by
+connected components.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import Workspace
@@ -40,8 +42,7 @@ NICKNAMES = {
     "theodore": "ted teddy", "thomas": "", "timothy": "", "ulrich": "uli ulli", "ursula": "ulla", "valerie": "valli", "victoria": "vicky tori", "vincent": "vinny",
     "walter": "wally", "william": "bill billy", "winifred": "winnie freddie", "wolfgang": "", "yannick": "nick", "zachary": "zack",
 }
-#: Kinds of organisations and places, words that say nothing, flags and epithets (fixed values; a parameter).
-KINDS = ("garage", "motorsport", "competition", "autosport", "racing", "engineering", "park", "ring", "raceway", "speedway", "circuit", "autodrome", "setup", "shop")
+#: Articles and legal forms, flags and epithets (fixed values; a parameter).
 EMPTY_WORDS = ("the", "team", "ltd", "limited", "inc", "intl", "international", "co", "corp")
 SQUADS = {"junior": "junior", "juniors": "junior", "jr": "junior", "ii": "junior", "iii": "junior", "academy": "academy", "acad": "academy"}
 SIDES = ("north", "south", "east", "west")
@@ -54,7 +55,7 @@ class Lexicon:
 
     nicknames: dict[str, str] = field(default_factory=lambda: NICKNAMES)
     given: frozenset[str] = frozenset()
-    kinds: tuple[str, ...] = KINDS
+    kinds: tuple[str, ...] = ()
 
 
 def plain(text: str) -> str:
@@ -78,9 +79,14 @@ def skeleton(word: str) -> str:
     return s[:1] + re.sub(r"[aeiou]", "", s[1:])
 
 
-def codes(word: str) -> set[str]:
-    """The phonetic code and, of codes long enough, each with one letter left out."""
-    s = skeleton(word)
+def sorted_code(tokens: list[str]) -> str:
+    """Phonetic codes of the tokens, sorted and written together, so their order does not matter."""
+    return "".join(sorted(skeleton(t) for t in tokens))
+
+
+def codes(*tokens: str) -> set[str]:
+    """The phonetic code of the sorted tokens and, where it is long enough, each with one letter left out."""
+    s = sorted_code(list(tokens))
     return {s} | ({s[:k] + s[k + 1 :] for k in range(len(s))} if len(s) >= 4 else set())
 
 
@@ -182,26 +188,12 @@ class Parser:
                 out.add(k)
         return frozenset(out)
 
-    def organisation(self, name: str) -> dict | None:
-        """Core, kinds and flags of an organisation or place; None if the name shows no kind."""
-        spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", plain(name)).lower()
-        core, kinds, flags = [], set(), set()
-        for w in re.findall(r"[^\W_]+", spaced):
-            if w in EMPTY_WORDS:
-                continue
-            if w in SQUADS or w in SIDES:
-                flags.add(SQUADS.get(w, w))
-            elif k := self.kind_of(w):
-                kinds |= k
-            elif w == "up" or w == "set":
-                kinds |= {"setup"} & set(self.kinds)
-            else:
-                core.append(w)
-        joined = "".join(core)
-        for _ in range(3):  # words run together
+    def _bare(self, word: str, kinds: set[str], flags: set[str]) -> str:
+        """A word without the kinds, flags and empty words run together with it."""
+        for _ in range(3):
             for w in (*self.kinds, *EMPTY_WORDS, *SQUADS, *SIDES):
-                if len(w) >= 3 and len(joined) > len(w) + 2 and (joined.endswith(w) or w in (*SIDES, "team", *self.kinds) and joined.startswith(w)):
-                    joined = joined[: -len(w)] if joined.endswith(w) else joined[len(w) :]
+                if len(w) >= 3 and len(word) > len(w) + 2 and (word.endswith(w) or w in (*SIDES, "team", *self.kinds) and word.startswith(w)):
+                    word = word[: -len(w)] if word.endswith(w) else word[len(w) :]
                     if w in SQUADS or w in SIDES:
                         flags.add(SQUADS.get(w, w))
                     elif w in self.kinds:
@@ -209,9 +201,35 @@ class Parser:
                     break
             else:
                 break
-        if not kinds or len(joined) < 3:
+        return word
+
+    def organisation(self, name: str) -> dict | None:
+        """Core, kinds and flags of an organisation or place; None if nothing is left of the name.
+
+        A name of kinds alone is its own core.
+        """
+        spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", plain(name)).lower()
+        core, kinds, flags = [], set(), set()
+        words = [w for w in re.findall(r"[^\W_]+", spaced) if w not in EMPTY_WORDS]
+        at = 0
+        while at < len(words):
+            w, both = words[at], words[at] + words[at + 1] if at + 1 < len(words) else ""
+            if w in SQUADS or w in SIDES:
+                flags.add(SQUADS.get(w, w))
+            elif both in self.kinds or len(both) >= 6 and any(edits(both, k, 1) <= 1 for k in self.kinds if len(k) >= 6):
+                kinds |= self.kind_of(both)
+                at += 1
+            elif k := self.kind_of(w):
+                kinds |= k
+            else:
+                core.append(self._bare(w, kinds, flags))
+            at += 1
+        if not core:  # kinds alone, or letters that may stand for one
+            core, kinds = [w for w in words if w not in SQUADS and w not in SIDES], set()
+        if not core:
             return None
-        return {"shape": "o", "a": joined, "b": sorted(kinds), "flags": flags}
+        core.sort(key=lambda w: (sound(w), w))
+        return {"shape": "o" if kinds else "n", "a": "".join(core), "parts": core, "b": sorted(kinds), "flags": flags}
 
     def person(self, name: str) -> list[dict]:
         """Forms of a person's name: family and given name, family with an initial, or an epithet."""
@@ -228,7 +246,7 @@ class Parser:
         words = parts[0]
         if any(w in EPITHETS for w in words):
             core = "".join(w for w in words if w not in EPITHETS)
-            return [{"shape": "e", "a": core, "b": sorted(w for w in words if w in EPITHETS), "flags": set()}] if len(core) >= 3 else []
+            return [{"shape": "e", "a": core, "parts": [core], "b": sorted(w for w in words if w in EPITHETS), "flags": set()}] if core else []
         long = [w for w in words if len(w) > 1]
         letters = [w for w in words if len(w) == 1]
         exact = [w for w in long if w in self.full or any(w in v.split() for v in self.lex.nicknames.values())]
@@ -249,27 +267,37 @@ class Parser:
 
     def _form(self, family: str, given: str, flags: set[str]) -> dict:
         means = sorted(self.meaning(given)) or [given] if len(given) > 1 else [given]
-        return {"shape": "p" if len(given) > 1 else "w", "a": family, "b": means, "flags": flags}
+        return {"shape": "p" if len(given) > 1 else "w", "a": family, "parts": [family], "b": means, "flags": flags}
 
     def entry(self, names: list[str], category: str | None) -> list[dict]:
         """Forms of all names of an entry; the entry's flags hold for each of them."""
         forms: list[dict] = []
         for name in dict.fromkeys(names):
             org = self.organisation(name) if category != "PERSON" else None
+            if org and category is None and org["shape"] == "n":
+                org = None  # nothing shows that it is no person
             forms += [org] if org else self.person(name) if category in (None, "PERSON") else []
+        # initials of another of the names, or letters too few to tell, add nothing to it
+        full = [x for x in forms if x["shape"] == "o"]
+        forms = [x for x in forms if x["shape"] != "n" or not full or not any(_initials(x["a"], y) for y in full)]
         flags = "+".join(sorted({f for x in forms if x["shape"] != "e" for f in x["flags"]}))
         support: dict[str, int] = {}
         for x in forms:
             support[sound(x["a"])] = support.get(sound(x["a"]), 0) + 1
-        out = {(x["shape"], x["a"], tuple(x["b"])): {"shape": x["shape"], "a": x["a"], "b": x["b"], "flags": "" if x["shape"] == "e" else flags, "support": support[sound(x["a"])]} for x in forms if len(x["a"]) >= 3}
+        out = {(x["shape"], x["a"], tuple(x["b"])): {"shape": x["shape"], "a": x["a"], "parts": x["parts"], "b": x["b"], "flags": "" if x["shape"] == "e" else flags, "support": support[sound(x["a"])]} for x in forms if x["a"]}
         return list(out.values())
 
 
+def _initials(word: str, form: dict) -> bool:
+    """Could a short word be the initials of a name, in any order?"""
+    return len(word) <= 4 and word[0] in {w[0] for w in form["parts"]} | {k[0] for k in form["b"]}
+
+
 def blocks(form: dict) -> list[tuple[str, bool]]:
     """Keys of a form and whether they are weak (a family name with an initial or alone)."""
     head, out = f"{form['shape']}|{form['flags']}|", []
-    if form["shape"] in "oe":
-        return [(head + c, False) for c in codes(form["a"])]
+    if form["shape"] in "one":
+        return [(head + c, False) for c in codes(*form["parts"])]
     person = f"p|{form['flags']}|"
     for c in codes(form["a"]):
         if form["shape"] == "p":
@@ -285,8 +313,8 @@ def same_form(a: dict, b: dict, weak: bool) -> bool:
     close = alike(a["a"], b["a"])
     if not close or close == 1 and min(a["support"], b["support"]) > 1:
         return False  # two spellings that each entry uses repeatedly are two names
-    if a["shape"] == "o":
-        return bool(set(a["b"]) & set(b["b"]))
+    if a["shape"] in "on":
+        return bool(set(a["b"]) & set(b["b"])) or a["shape"] == "n"
     if a["shape"] == "e":
         return list(a["b"]) == list(b["b"])
     if weak:
@@ -296,21 +324,50 @@ def same_form(a: dict, b: dict, weak: bool) -> bool:
     return any(jaro_winkler(x, y) >= 0.9 and edits(x, y, 1) <= 1 for x in a["b"] for y in b["b"])
 
 
-_FORM = "struct<shape:string,a:string,b:array<string>,flags:string,support:int>"
+_FORM = "struct<shape:string,a:string,parts:array<string>,b:array<string>,flags:string,support:int>"
 
 
-def learn_lexicon(entries: DataFrame, least_share: float = 0.003, least_entries: int = 25) -> Lexicon:
-    """Given names from the data: tokens in many entries of persons.
+def learn_lexicon(entries: DataFrame, least_share: float = 0.003, least_entries: int = 25, kind_share: float = 0.01, least_partners: int = 6) -> Lexicon:
+    """Given names and kinds from the data: tokens in many entries of persons, and tokens in names of many other things.
 
-    A token needs ``least_share`` of the persons' entries, so with the handful of tokens an
-    entry has their number is bounded whatever the size of the data.
+    A given name needs ``least_share`` of the persons' entries, a kind ``kind_share`` of all
+    others' and ``least_partners`` different words beside it; with the handful of tokens an
+    entry has, their number is bounded whatever the size of the data.
     """
-    persons = entries.filter(F.upper(F.trim("category")) == "PERSON")
+    person = F.upper(F.trim("category")) == "PERSON"
+
+    def held_by(rows: DataFrame, spelled: Column) -> DataFrame:
+        words = F.array_distinct(F.flatten(F.transform("names", lambda x: F.regexp_extract_all(F.lower(spelled(x)), F.lit(r"(\p{L}{3,})"), F.lit(1)))))
+        return rows.select(words.alias("words"))
+
+    persons = entries.filter(person)
     n = persons.count()
-    words = F.array_distinct(F.flatten(F.transform("names", lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"(\p{L}{3,})"), F.lit(1)))))
-    held = persons.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(least_entries, least_share * n))
+    held = held_by(persons, lambda x: x).select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(least_entries, least_share * n))
     learned = {plain(r["w"]) for r in held.collect()} - set(EPITHETS) - set(SQUADS)
-    return Lexicon(given=frozenset(w for w in learned if not any(w in v.split() or short_for(w, k, NICKNAMES) for k, v in NICKNAMES.items())))
+    given = frozenset(w for w in learned if not any(w in v.split() or short_for(w, k, NICKNAMES) for k, v in NICKNAMES.items()))
+    others = entries.filter(~person)
+    m = others.count()
+    split = held_by(others, lambda x: F.regexp_replace(x, r"(?<=\p{Ll})(?=\p{Lu})", " "))
+    often = split.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(3, kind_share * m))
+    common = F.broadcast(often.limit(int(100 / kind_share)).withColumnRenamed("n", "held"))
+    beside = split.select("words", F.explode("words").alias("w")).join(common, "w").select("w", "held", F.explode("words").alias("other"))
+    beside = beside.filter((F.col("w") != F.col("other")) & ~F.col("other").isin(*EMPTY_WORDS, *SQUADS, *SIDES, *EPITHETS))
+    # spellings of one word begin alike, so partners are counted by their first three letters; a name in
+    # many entries has the spellings of its kind beside it, a kind has ever other names
+    partners = beside.groupBy("w", "held").agg(F.approx_count_distinct(F.substring("other", 1, 3)).alias("n")).filter((F.col("n") >= least_partners) & ((F.col("n") >= 0.2 * F.col("held")) | (F.col("n") >= 100)))
+    count: dict[str, int] = {}
+    for r in partners.collect():
+        count[plain(r["w"])] = count.get(plain(r["w"]), 0) + r["held"]
+    kinds = [w for w in sorted(count) if w not in {*EMPTY_WORDS, *SQUADS, *SIDES, *EPITHETS} and w not in NICKNAMES and w not in given]
+
+    def stands_for(k: str, o: str) -> bool:
+        """Is the kind ``k`` a slip, a plural or an abbreviation of the more frequent ``o``?"""
+        if count[k] > count[o] or k == o:
+            return False
+        return edits(k, o, 1) <= 1 or o.startswith(k) or len(k) < len(o) and 3 * count[k] < count[o] and bool(Parser(Lexicon({}, frozenset(), (o,))).kind_of(k))
+
+    kinds = [k for k in kinds if not any(stands_for(k, o) for o in kinds)]
+    return Lexicon(given=given, kinds=tuple(kinds))
 
 
 def link_entries(gazetteer: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
@@ -340,10 +397,13 @@ def link_entries(gazetteer: DataFrame, lexicon: Lexicon | None = None) -> DataFr
     keyed = ws.write(parsed.withColumn("fid", F.xxhash64("form")), "keys")
     forms = ws.write(keyed.groupBy("fid").agg(F.any_value("form").alias("form")), "forms")
     # equal forms of many entries are compared once: the smallest entry stands for them
-    first = ws.write(keyed.groupBy("key", "weak", "fid", "category").agg(F.min("entry_id").alias("entry_id")), "first")
-    a, b = (first.select("key", "weak", F.col("fid").alias(f"fid_{x}"), F.col("category").alias(f"cat_{x}"), F.col("entry_id").alias(f"id_{x}")) for x in "ab")
+    first = ws.write(keyed.groupBy("key", "weak", "fid", "category").agg(F.min("entry_id").alias("entry_id"), F.any_value(F.col("form.shape") == "w").alias("loose")), "first")
+    a, b = (first.select("key", "weak", F.col("loose").alias(f"loose_{x}"), F.col("fid").alias(f"fid_{x}"), F.col("category").alias(f"cat_{x}"), F.col("entry_id").alias(f"id_{x}")) for x in "ab")
     fits = F.col("cat_a").isNull() | F.col("cat_b").isNull() | (F.col("cat_a") == F.col("cat_b"))
-    near = a.join(b, ["key", "weak"]).filter((F.col("id_a") < F.col("id_b")) & fits).select("weak", "id_a", "id_b", "fid_a", "fid_b").distinct()
+    # under a weak key only the forms without a given name are looked at, each with the others
+    strong_near = a.filter("not weak").join(b, ["key", "weak"]).filter((F.col("id_a") < F.col("id_b")) & fits)
+    weak_near = a.filter("weak and loose_a").join(b, ["key", "weak"]).filter((F.col("id_a") != F.col("id_b")) & fits & ~(F.col("loose_b") & (F.col("id_a") > F.col("id_b"))))
+    near = strong_near.unionByName(weak_near).select("weak", "id_a", "id_b", "fid_a", "fid_b").distinct()
     pairs = near.join(forms.select(F.col("fid").alias("fid_a"), F.col("form").alias("form_a")), "fid_a").join(forms.select(F.col("fid").alias("fid_b"), F.col("form").alias("form_b")), "fid_b")
 
     @F.pandas_udf("boolean")
@@ -352,7 +412,7 @@ def link_entries(gazetteer: DataFrame, lexicon: Lexicon | None = None) -> DataFr
         return pd.Series([same_form(x, y, w) for x, y, w in zip(left, right, weak)], dtype=bool)
 
     near = ws.write(pairs.filter(verified("form_a", "form_b", "weak")).select("weak", "id_a", "id_b", "fid_a", "fid_b"), "verified")
-    links = ws.write(near.groupBy("id_a", "id_b").agg(F.min("weak").alias("weak")), "links")
+    links = ws.write(near.groupBy(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).agg(F.min("weak").alias("weak")), "links")
     strong_keys = keyed.filter(~F.col("weak")).select("entry_id", "category", "key", "fid")
     heads = first.filter(~F.col("weak")).select("key", "fid", F.col("category").alias("head_category"), F.col("entry_id").alias("head"))
     equal = strong_keys.join(heads, ["key", "fid"]).filter("entry_id <> head").filter("category is null or head_category is null or category = head_category")
@@ -379,7 +439,7 @@ def link_entries(gazetteer: DataFrame, lexicon: Lexicon | None = None) -> DataFr
     return strong.unionByName(extra).distinct().select(F.col("id_a").alias("entry_id_a"), F.col("id_b").alias("entry_id_b"))
 
 
-def connected_components(ws: Workspace, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """``(id, component)`` of the ids in ``edges (id_a, id_b)``; a component is its smallest id.
 
     Alternating large-star and small-star rounds: each id hangs its greater neighbours, then
@@ -387,7 +447,7 @@ def connected_components(ws: Workspace, edges: DataFrame, most_rounds: int = 40)
     chains take a logarithmic number of rounds; no component is ever gathered.
     """
     e = ws.write(edges.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).filter("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

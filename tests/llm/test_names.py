@@ -1,8 +1,9 @@
 import itertools
+import random
 
 import pytest
 
-from tessera.llm.names import Lexicon, Parser, alike, edits, entities, jaro_winkler, same_entity, short_for, skeleton
+from tessera.llm.names import Lexicon, Parser, alike, codes, edits, entities, jaro_winkler, learn_lexicon, same_entity, short_for, skeleton
 
 SCHEMA = "entry_id long, canonical string, category string, variants array<string>, entity string"
 GROUPS = [
@@ -21,9 +22,17 @@ GROUPS = [
 ]
 
 
+def others(n=12):
+    """Entries that show which words are kinds; no two are alike."""
+    rnd = random.Random(4)
+    core = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(5)).capitalize()
+    kinds = [("Garage", "TEAM"), ("Autodrome", "PLACE"), ("Ring", "PLACE"), ("Setup Shop", "DROP"), ("Racing", "TEAM"), ("Circuit", "PLACE")]
+    return [(f"{core()} {kind}", category, []) for kind, category in kinds for _ in range(n)]
+
+
 def frame(spark):
     rows, want, n = [], set(), 0
-    for group in GROUPS:
+    for group in GROUPS + [[x] for x in others()]:
         ids = []
         for canonical, category, variants in group:
             n += 1
@@ -66,7 +75,39 @@ def test_parser_reads_orders():
     for name in ("Eleanor Sainougrek", "Sainougrek, Eleanor", "Sainougrek Eleanor", "#7 Ellie B. Sainou-grek"):
         f = p.person(name)[0]
         assert f["a"] == "sainougrek" and "eleanor" in f["b"], name
-    assert p.organisation("RAKRAIBRUSCIRCUIT")["a"] == "rakraibrus" and p.organisation("Nobody Here") is None
+    p = Parser(Lexicon(kinds=("circuit", "setup", "raceway", "motorsport")))
+    assert p.organisation("RAKRAIBRUSCIRCUIT")["a"] == "rakraibrus"
+    assert [p.organisation(x)["b"] for x in ("Abc Set-up", "Abc Race Way", "Abc Msport")] == [["setup"], ["raceway"], ["motorsport"]]
+    assert p.organisation("Nobody Here")["shape"] == "n" and p.organisation("...") is None
+    assert [x["a"] for x in p.entry(["Abcdef Circuit", "AC", "ACR"], "PLACE")] == ["abcdef"] and p.entry(["AC"], "PLACE")[0]["a"] == "ac"
+
+
+def test_order_of_tokens_does_not_matter():
+    p = Parser(Lexicon(kinds=("racing",)))
+    a, b = p.organisation("Blue Falcon Racing"), p.organisation("Racing Falcon Blue")
+    assert a["a"] == b["a"] and codes(*a["parts"]) == codes(*b["parts"])
+
+
+TWINS = [
+    ("Scuderia Falcone", "Falcone Scuderia", "TEAM"),
+    ("Nurburg Arena", "Nurbourg Arena", "PLACE"),
+    ("Acme Tyres", "Acme Tyers", "DROP"),
+    ("Blue Falcon Racing", "Racing Falcon Blue", "TEAM"),
+    ("Li Wu", "Wu, Li", "PERSON"),
+    ("Bo", "bo", "TEAM"),
+]
+
+
+def test_names_without_a_listed_kind_and_short_names(spark):
+    rows = [(x, c, []) for a, b, c in TWINS for x in (a, b)] + others()
+    df = spark.createDataFrame([(i, n, c, v, "") for i, (n, c, v) in enumerate(rows)], SCHEMA)
+    assert {(r.entry_id_a, r.entry_id_b) for r in same_entity(df).collect()} == {(2 * k, 2 * k + 1) for k in range(len(TWINS))}
+
+
+def test_kinds_are_learned(spark):
+    names = [(n, c) for n, c, _ in others()] + [(f"Zabibu {w}", "TEAM") for w in ("Garage", "Garaeg", "Grage", "Garag")]
+    df = spark.createDataFrame([(c, [n]) for n, c in names] + [("PERSON", ["Robert Hill"])], "category string, names array<string>")
+    assert learn_lexicon(df).kinds == ("autodrome", "circuit", "garage", "racing", "ring", "setup", "shop")
 
 
 def test_entries_without_a_given_name_all_join_the_one_entity(spark):
