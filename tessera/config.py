@@ -81,9 +81,9 @@ def sweep_degenerate(n_clusters: int, noise: float, least: int = 10, least_noise
     return n_clusters < least or noise < least_noise
 
 
-def resample_degenerate(n_clusters: int, least: int = 10) -> bool:
-    """Degeneracy of a resampled run: on the raw cluster count alone."""
-    return n_clusters < least
+def resample_degenerate(n_clusters: int, noise: float, least: int = 10, least_noise: float = 0.05) -> bool:
+    """Degeneracy of a resampled run: too few raw clusters, or too little left out of them."""
+    return n_clusters < least or noise < least_noise
 
 
 def factorial_degenerate(aligned: int, least: int = 10) -> bool:

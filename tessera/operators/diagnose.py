@@ -55,19 +55,24 @@ def legacy_verdict(df: DataFrame, dims: list[str], threshold: float = 0.5) -> Da
 
 
 def heldout_centroids(df: DataFrame, train: Column, least_train: int = 3, id_col: str = "id") -> DataFrame:
-    """Centroids of the training rows against the held-out rows: strict and direction shares by category.
+    """Where held-out rows go when every row joins the nearest centroid of the training rows, by category.
 
-    ``strict``: the nearest centroid is the row's own; ``direction``: the own centroid is
-    nearer than the mean of all.  Categories with fewer training rows have no centroid.
+    ``strict``: the share routed back to their own category; ``direction``: the share of the
+    most frequent destination, whichever it is; ``score`` is the smaller.  A category with
+    fewer than ``least_train`` training rows has no centroid; it and one without held-out rows
+    score 0.
     """
-    from tessera.operators.vectors import centroids, nearest_centroid, own_cosine
-
-    fit = df.filter(train & (F.col("label") != -1))
-    enough = fit.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_train).select("label")
-    cents = centroids(fit.join(enough, "label", "left_semi"))
-    test = df.filter(~train & (F.col("label") != -1)).join(enough, "label", "left_semi")
-    near = nearest_centroid(own_cosine(test, cents), cents, id_col)
-    return near.groupBy("label").agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("nearest") == F.col("label")).cast("int")).alias("strict"), F.avg((F.col("own_cosine") > 0).cast("int")).alias("direction")).withColumn("score", F.least("strict", "direction"))
+    from tessera.operators.vectors import centroids, nearest_centroid
+
+    known = df.filter(F.col("label") != -1)
+    enough = known.filter(train).groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_train).select("label")
+    cents = centroids(known.filter(train).join(enough, "label", "left_semi"))
+    near = nearest_centroid(known.filter(~train), cents, id_col)
+    routed = near.groupBy("label", "nearest").agg(F.count(F.lit(1)).alias("n"))
+    by = routed.groupBy("label").agg(F.sum("n").alias("n_test"), F.sum(F.when(F.col("nearest") == F.col("label"), F.col("n")).otherwise(0)).alias("own"), F.max(F.when(F.col("nearest").isNotNull(), F.col("n"))).alias("most"))
+    every = known.select("label").distinct().join(by, "label", "left").join(enough.withColumn("kept", F.lit(True)), "label", "left")
+    share = lambda c: F.when(F.col("kept"), F.coalesce(ratio(F.col(c), F.col("n_test")), F.lit(0.0))).otherwise(0.0)
+    return every.select("label", F.coalesce("n_test", F.lit(0)).alias("n_test"), share("own").alias("strict"), share("most").alias("direction")).withColumn("score", F.least("strict", "direction"))
 
 
 def sweep_counts(parts: DataFrame) -> DataFrame:

@@ -100,12 +100,15 @@ def term_weights(counts: DataFrame) -> DataFrame:
 def weighted_jaccard(weights: DataFrame, other: DataFrame) -> DataFrame:
     """``(h, f, similarity)`` = sum of minima over sum of maxima of two weighted term sets.
 
-    Sparse form: minima come from shared terms only, maxima are both totals less the minima.
+    Sparse form: minima come from shared terms only, maxima are both totals less the minima;
+    sets without a shared term have 0.
     """
     a, b = weights.select(F.col("label").alias("h"), "term", F.col("weight").alias("wa")), other.select(F.col("label").alias("f"), "term", F.col("weight").alias("wb"))
     ta, tb = a.groupBy("h").agg(F.sum("wa").alias("ta")), b.groupBy("f").agg(F.sum("wb").alias("tb"))
     mins = a.join(b, "term").groupBy("h", "f").agg(F.sum(F.least("wa", "wb")).alias("m"))
-    return mins.join(ta, "h").join(tb, "f").select("h", "f", F.coalesce(ratio(F.col("m"), F.col("ta") + F.col("tb") - F.col("m")), F.lit(0.0)).alias("similarity"))
+    # every pair of categories has a row, so the result itself is that product
+    shared = F.coalesce("m", F.lit(0.0))
+    return ta.crossJoin(tb).join(mins, ["h", "f"], "left").select("h", "f", F.coalesce(ratio(shared, F.col("ta") + F.col("tb") - shared), F.lit(0.0)).alias("similarity"))
 
 
 def heldout_replication(train: DataFrame, test: DataFrame, q: float = 0.05) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.config import resample_degenerate, sweep_degenerate
 from tessera.operators import kernels as K
 
 #: Rows a density or hierarchy kernel is fitted on at most; every further row is predicted.
@@ -108,9 +109,13 @@ def density_partition(df: DataFrame, smallest: int, id_col: str = "id", limit: i
 
 
 def granularity_sweep(df: DataFrame, sizes: list[int], id_col: str = "id", limit: int = FIT_ROWS) -> DataFrame:
-    """``(mcs, n_clusters, noise, largest, dbcv, degenerate)``: one task for each setting over the shared fit rows."""
+    """``(mcs, n_clusters, noise, largest, dbcv, degenerate, n_fit, n_rows)``: one task for each setting over the shared fit rows.
+
+    All figures are those of the ``n_fit`` rows fitted on, out of ``n_rows``.
+    """
     spark = df.sparkSession
     _, x, _ = _fit_rows(df, id_col, limit)
+    n_rows = df.count()
     shared = spark.sparkContext.broadcast(x)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,11 +125,11 @@ def granularity_sweep(df: DataFrame, sizes: list[int], id_col: str = "id", limit
                 labels, info = K.density_clusters(shared.value, int(m))
                 sizes_ = np.bincount(labels[labels >= 0]) if (labels >= 0).any() else np.array([0])
                 noise, k = float((labels < 0).mean()), int((sizes_ > 0).sum())
-                rows.append((int(m), k, noise, int(sizes_.max()), K.relative_validity(info["tree"], labels), bool(k < 3 or noise < 0.05)))
-            yield pd.DataFrame(rows, columns=["mcs", "n_clusters", "noise", "largest", "dbcv", "degenerate"])
+                rows.append((int(m), k, noise, int(sizes_.max()), K.relative_validity(info["tree"], labels), sweep_degenerate(k, noise), len(labels), n_rows))
+            yield pd.DataFrame(rows, columns=["mcs", "n_clusters", "noise", "largest", "dbcv", "degenerate", "n_fit", "n_rows"])
 
     settings = spark.createDataFrame([(m,) for m in sizes], "mcs int").repartition(len(sizes), "mcs")
-    return settings.mapInPandas(run, "mcs int, n_clusters int, noise double, largest int, dbcv double, degenerate boolean")
+    return settings.mapInPandas(run, "mcs int, n_clusters int, noise double, largest int, dbcv double, degenerate boolean, n_fit int, n_rows bigint")
 
 
 def kmeans_best(df: DataFrame, k: int, restarts: int = 10, seed: int = 42, id_col: str = "id") -> DataFrame:
@@ -135,6 +140,7 @@ def kmeans_best(df: DataFrame, k: int, restarts: int = 10, seed: int = 42, id_co
     data = df.select(id_col, array_to_vector("proj").alias("features")).cache()
     models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="label").fit(data) for i in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    data.unpersist()
     return best.transform(data).select(id_col, F.col("label").cast("int").alias("label"))
 
 
@@ -202,12 +208,16 @@ def _replicates(spark, n: int):
     return spark.range(n).select(F.col("id").cast("int").alias("replicate")).repartition(min(n, 64), "replicate")
 
 
-_REPLICATE = "replicate int, category int, jaccard double, matched int, status string"
+_REPLICATE = "replicate int, category int, jaccard double, matched int, status string, n_fit int, n_rows bigint"
 
 
 def _experiment(df: DataFrame, partition: DataFrame, replicates: int, body: Callable, id_col: str, limit: int) -> DataFrame:
-    """Replicates as rows: each task repeats ``body`` over the broadcast fit rows (bounded by ``limit``)."""
+    """Replicates as rows: each task repeats ``body`` over the broadcast fit rows (bounded by ``limit``).
+
+    ``n_fit`` of ``n_rows`` rows take part.
+    """
     spark = df.sparkSession
+    n_rows = df.count()
     ids, x, _ = _fit_rows(df, id_col, limit)
     known = {r[id_col]: r["label"] for r in partition.join(spark.createDataFrame(pd.DataFrame({id_col: ids})), id_col).collect()}
     ref = np.array([known.get(i, -1) for i in ids.tolist()])
@@ -219,15 +229,15 @@ def _experiment(df: DataFrame, partition: DataFrame, replicates: int, body: Call
             cats = sorted(set(ref.tolist()) - {-1})
             for r in pdf["replicate"]:
                 rows = body(int(r), x, ref, cats)
-                yield pd.DataFrame([(int(r), c, j, m, s) for c, (j, m, s) in zip(cats, rows)], columns=["replicate", "category", "jaccard", "matched", "status"])
+                yield pd.DataFrame([(int(r), c, j, m, s, len(x), n_rows) for c, (j, m, s) in zip(cats, rows)], columns=["replicate", "category", "jaccard", "matched", "status", "n_fit", "n_rows"])
 
     return _replicates(spark, replicates).mapInPandas(run, _REPLICATE)
 
 
-def resampling_stability(df: DataFrame, partition: DataFrame, smallest: int, replicates: int = 30, share: float = 0.8, seed: int = 42, id_col: str = "id", limit: int = 5000) -> DataFrame:
+def resampling_stability(df: DataFrame, partition: DataFrame, smallest: int, replicates: int = 30, share: float = 0.8, seed: int = 42, id_col: str = "id", limit: int = 5000, least_clusters: int = 10) -> DataFrame:
     """Best Jaccard of each category when the rows are subsampled and clustered again.
 
-    A replicate with fewer than three clusters is degenerate: its values stay, its status says so.
+    A replicate with too few clusters or hardly any noise is degenerate: its values stay, its status says so.
     Replicate r draws from generator ``[seed, r]``, so a longer roster begins with a shorter one.
     """
 
@@ -235,7 +245,7 @@ def resampling_stability(df: DataFrame, partition: DataFrame, smallest: int, rep
         rng = np.random.default_rng([seed, r])
         take = np.sort(rng.choice(len(x), int(round(share * len(x))), replace=False))
         got, _ = K.density_clusters(x[take], smallest)
-        status = "degenerate" if len(set(got.tolist()) - {-1}) < 3 else "ok"
+        status = "degenerate" if resample_degenerate(len(set(got.tolist()) - {-1}), float((got < 0).mean()), least_clusters) else "ok"
         return [(j, m, status) for j, m in _best_jaccard(ref[take], got, cats)]
 
     return _experiment(df, partition, replicates, body, id_col, limit)
@@ -287,6 +297,22 @@ def factorial(df: DataFrame, partition: DataFrame, seeds: int, sizes: list[int],
     return grid.repartition(min(64, seeds * len(sizes))).mapInPandas(run, "seed int, mcs int, category int, reconstructed boolean, overlap double, held_share double")
 
 
+def best_mapping(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels ``b`` renamed to those of ``a`` by the assignment of greatest overlap; -1 for labels left over."""
+    table = np.array([[((a == i) & (b == j)).sum() for j in range(b.max() + 1)] for i in range(a.max() + 1)], float)
+    names = {j: i for i, j in K.hungarian(table)}
+    return np.array([names.get(int(v), -1) for v in b])
+
+
+def agreement_by_chance(n: int, k: int, trials: int = 2000, seed: int = 42) -> float:
+    """Mean agreement, under the best renaming, of two labelings drawn at random from ``k`` labels each."""
+    if not n:
+        return 0.0
+    rng = np.random.default_rng(seed)
+    drawn = ((rng.integers(0, k, n), rng.integers(0, k, n)) for _ in range(trials))
+    return float(np.mean([(best_mapping(a, b) == a).mean() for a, b in drawn]))
+
+
 def category_groups(cents: DataFrame, k: int = 4, edge: float = 0.5, trials: int = 2000, seed: int = 42) -> DataFrame:
     """``(label, ward, louvain, louvain_as_ward, agreement, chance)`` of the categories' centroids (some dozens).
 
@@ -300,14 +326,8 @@ def category_groups(cents: DataFrame, k: int = 4, edge: float = 0.5, trials: int
     graph = [(a, b, sim[a, b]) for a in range(n) for b in range(a + 1, n) if sim[a, b] >= edge]
     lv = K.louvain(n, np.array(graph) if graph else np.zeros((0, 3)))
 
-    def mapped(a, b):
-        table = np.array([[((a == i) & (b == j)).sum() for j in range(b.max() + 1)] for i in range(a.max() + 1)], float)
-        names = {j: i for i, j in K.hungarian(table)}
-        return np.array([names.get(int(v), -1) for v in b])
-
-    rng = np.random.default_rng(seed)
-    renamed = mapped(w, lv)
-    chance = float(np.mean([(mapped(w, lv[rng.permutation(n)]) == w).mean() for _ in range(trials)])) if n else 0.0
+    renamed = best_mapping(w, lv)
+    chance = agreement_by_chance(n, k, trials, seed)
     rows = [(int(c), int(a), int(b), int(r), float((renamed == w).mean()), chance) for c, a, b, r in zip(pdf["label"], w, lv, renamed)]
     return cents.sparkSession.createDataFrame(rows, "label int, ward int, louvain int, louvain_as_ward int, agreement double, chance double")
 

@@ -1,9 +1,12 @@
 """Null models and resampling whose draws are distributed exactly, not approximated.
 
-Permutations and resamples over all rows are dealt to buckets of rows: the driver draws how
-many of each group fall into each bucket (a hypergeometric or multinomial table of buckets
-by groups), and every bucket permutes its own rows.  The joint law is that of one draw over
-all rows, and no task ever sees more than its bucket.
+Permutations and resamples over all rows are dealt to buckets of rows, whose number grows
+with the rows: how many of each group fall into each bucket is a hypergeometric or
+multinomial draw, and every bucket permutes its own rows.  The joint law is that of one draw
+over all rows, and no task ever sees more than its bucket.  A bucket finds its part of a
+hypergeometric table by halving: at each node of a tree over the buckets the groups are
+split between the two halves by a draw whose seed is the node's, so all tasks agree and no
+table of all buckets exists anywhere.
 """
 
 from __future__ import annotations
@@ -16,30 +19,39 @@ from pyspark.sql import functions as F
 from tessera.functions.math import r6
 
 
-def _buckets(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, dict[int, int]]:
+#: Rows a bucket holds about.
+BUCKET_ROWS = 100_000
+
+
+def _buckets(df: DataFrame, key: str, buckets: int | None) -> tuple[DataFrame, dict[int, int]]:
+    buckets = buckets or max(8, -(-df.count() // BUCKET_ROWS))
     dealt = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     return dealt, {r["bucket"]: r["n"] for r in dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def permutation_null(second: DataFrame, primary: DataFrame, replicates: int = 1000, seed: int = 4242, buckets: int = 8) -> DataFrame:
+def dealt_groups(counts: list[int], bucket: int, sizes: list[int], replicates: int, seed: int) -> np.ndarray:
+    """Rows of each group in one bucket, a row a replicate, of a random deal of groups to buckets of ``counts`` rows."""
+    left = np.tile(np.array(sizes, np.int64), (replicates, 1))
+    lo, hi = 0, len(counts)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rng = np.random.default_rng([seed, lo, hi])
+        first = np.stack([rng.multivariate_hypergeometric(row, sum(counts[lo:mid]), method="marginals") for row in left])
+        left, lo, hi = (first, lo, mid) if bucket < mid else (left - first, mid, hi)
+    return left
+
+
+def permutation_null(second: DataFrame, primary: DataFrame, replicates: int = 1000, seed: int = 4242, buckets: int | None = None) -> DataFrame:
     """``(replicate, h, best)``: best cosine of each primary centroid under shuffled membership of the second register.
 
-    ``second(id, label, vec)`` keeps its group sizes, noise included as a group that forms no
-    centroid; ``primary(label, vec)`` are unit centroids, few by nature.
+    Only the assigned rows of ``second(id, label, vec)`` are permuted, with their group sizes
+    kept; noise takes no part.  ``primary(label, vec)`` are unit centroids, few by nature.
     """
+    second = second.filter(F.col("label") != -1)
     dealt, counts = _buckets(second, "id", buckets)
     sizes = {r["label"]: r["n"] for r in second.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    groups = sorted(sizes)
-    rng = np.random.default_rng(seed)
-    order = sorted(counts)
-    plan: dict[int, np.ndarray] = {b: np.zeros((replicates, len(groups)), int) for b in order}
-    for r in range(replicates):
-        left = np.array([sizes[g] for g in groups])
-        for b in order[:-1]:
-            take = rng.multivariate_hypergeometric(left, counts[b])
-            plan[b][r], left = take, left - take
-        if order:
-            plan[order[-1]][r] = left
+    groups, order = sorted(sizes), sorted(counts)
+    held, share = [counts[b] for b in order], [sizes[g] for g in groups]
     fixed = [(r["label"], np.array(r["vec"], float)) for r in primary.select("label", "vec").collect()]
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -47,18 +59,19 @@ def permutation_null(second: DataFrame, primary: DataFrame, replicates: int = 10
         pdf = pdf.sort_values("id")
         x = np.stack(pdf["vec"].to_numpy()).astype(float)
         local = np.random.default_rng([seed, b])
+        plan = dealt_groups(held, order.index(b), share, replicates, seed)
         rows = []
         for r in range(replicates):
             p = x[local.permutation(len(x))]
-            edges = np.concatenate([[0], np.cumsum(plan[b][r])])
+            edges = np.concatenate([[0], np.cumsum(plan[r])])
             total = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(p, axis=0)])
             part = total[edges[1:]] - total[edges[:-1]]
-            rows += [(r, g, part[i].tolist()) for i, g in enumerate(groups) if g != -1]
+            rows += [(r, g, part[i]) for i, g in enumerate(groups)]
         return pd.DataFrame(rows, columns=["replicate", "g", "total"])
 
     parts = dealt.select("id", "vec", "bucket").groupBy("bucket").applyInPandas(sums, "replicate int, g int, total array<double>")
-    # buckets are few: their partial sums of a group meet in one aggregation by (replicate, group)
-    added = parts.groupBy("replicate", "g").agg(F.collect_list("total").alias("ts")).withColumn("total", F.aggregate(F.slice("ts", 2, F.greatest(F.size("ts") - 1, F.lit(0))), F.col("ts")[0], lambda a, t: F.zip_with(a, t, lambda x, y: x + y)))
+    by_place = parts.select("replicate", "g", F.posexplode("total").alias("at", "x")).groupBy("replicate", "g", "at").agg(F.sum("x").alias("x"))
+    added = by_place.groupBy("replicate", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("total"))
 
     def best(batches):
         for pdf in batches:
@@ -122,7 +135,7 @@ def null_verdict(null: DataFrame, observed: int, value: str = "n_universal") ->
     return one.select(F.lit(observed).alias("observed"), r6("mean").alias("mean"), r6("sd").alias("sd"), r6("p_low").alias("p_low"), r6("p_high").alias("p_high"), F.when(F.col("p_low") <= 0.05, "fewer").when(F.col("p_high") <= 0.05, "more").otherwise("within").alias("verdict"))
 
 
-def session_bootstrap(sessions: DataFrame, replicates: int = 10_000, seed: int = 42, buckets: int = 8) -> DataFrame:
+def session_bootstrap(sessions: DataFrame, replicates: int = 10_000, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """One row: pooled coverage and its percentile interval over resamples of sessions ``(session, hits, n)``.
 
     Draws are dealt to buckets by a multinomial, then to the sessions of a bucket; only sums
@@ -200,6 +213,27 @@ def hash_text(text: str) -> int:
     return zlib.crc32(str(text).encode())
 
 
+def block_starts(rng: np.random.Generator, n: int, sizes: np.ndarray, replicates: int) -> np.ndarray | None:
+    """Starts of non-overlapping blocks of ``sizes`` in ``n`` rows, a row a replicate; None where they do not fit.
+
+    As many distinct places as blocks are drawn from ``n - sum(sizes) + len(sizes)``, sorted, and
+    each is moved on by the lengths before it less one.
+    """
+    k, span = len(sizes), n - int(sizes.sum()) + len(sizes)
+    if span < k or sizes.min() < 1:
+        return None
+    if span <= 8 * k * k:
+        places = np.concatenate([np.argsort(rng.random((min(200, replicates - at), span)), axis=1)[:, :k] for at in range(0, replicates, 200)])
+    else:
+        places = rng.integers(0, span, (replicates, k))
+        while True:  # draws with a place taken twice are made anew
+            again = np.nonzero((np.diff(np.sort(places, axis=1), axis=1) == 0).any(axis=1))[0]
+            if not len(again):
+                break
+            places[again] = rng.integers(0, span, (len(again), k))
+    return np.sort(places, axis=1) + np.concatenate([[0], np.cumsum(sizes - 1)[:-1]])
+
+
 def contiguous_null(df: DataFrame, blocks: tuple[int, ...] = (1, 5, 10, 20), share: float = 0.3, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """``(session, k, status, mean, sd, p2_5, p97_5)``: share of hits in k contiguous blocks that cover ``share`` of a session.
 
@@ -214,15 +248,11 @@ def contiguous_null(df: DataFrame, blocks: tuple[int, ...] = (1, 5, 10, 20), sha
         n, prefix = len(hits), np.concatenate([[0], np.cumsum(hits)])
         total, rows = int(n * share), []
         for k in blocks:
-            if total < k or n - total < 0:
+            sizes = np.full(k, total // k) + (np.arange(k) < total % k)
+            starts = block_starts(np.random.default_rng([seed, hash_text(session) % (1 << 31), k]), n, sizes, replicates)
+            if starts is None:
                 rows.append((session, k, "infeasible", None, None, None, None))
                 continue
-            sizes = np.full(k, total // k) + (np.arange(k) < total % k)
-            rng = np.random.default_rng([seed, hash_text(session) % (1 << 31), k])
-            # gaps between blocks: a uniform composition of the sentences left over
-            free = n - total
-            bars = np.sort(rng.integers(0, free + 1, size=(replicates, k)), axis=1)
-            starts = bars + np.concatenate([[0], np.cumsum(sizes)[:-1]])
             v = (prefix[starts + sizes] - prefix[starts]).sum(1) / total
             rows.append((session, k, "ok", v.mean(), v.std(ddof=1), *np.percentile(v, [2.5, 97.5])))
         return pd.DataFrame(rows, columns=["session", "k", "status", "mean", "sd", "p2_5", "p97_5"])

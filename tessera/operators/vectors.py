@@ -9,6 +9,8 @@ from tessera.functions.math import dot, euclid, l2_normalise, norm, ratio
 
 #: Numbers a broadcast set of centroids may hold; larger sets are joined instead.
 BROADCAST_NUMBERS = 4_000_000
+#: Rows of a block of an all-pairs kernel: a table of products of two blocks takes 32 MB.
+BUCKET_ROWS = 2000
 
 
 def mean_vectors(df: DataFrame, key: str = "label", vec: str = "vec") -> DataFrame:
@@ -81,12 +83,18 @@ def top_by(df: DataFrame, group: list[str], order: list, n: int, rank: str = "ra
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def _block_pairs(rows: DataFrame, kernel, schema: str, buckets: int) -> DataFrame:
+def bucket_count(n: int) -> int:
+    return max(1, -(-n // BUCKET_ROWS))
+
+
+def _block_pairs(rows: DataFrame, kernel, schema: str, buckets: int | None) -> DataFrame:
     """Apply ``kernel(queries, targets)`` to every pair of buckets of ``(id, label, vec)``.
 
-    Rows are dealt into buckets by hash; a pair of buckets is one task's matrix product, so
-    no task holds more than two buckets, whatever the labels' sizes.
+    Rows are dealt into buckets by hash; a pair of buckets is one task's matrix product.  A
+    bucket has about ``BUCKET_ROWS`` rows, however many there are in all, so what a task holds
+    (two buckets and their table of products) does not grow with the data.
     """
+    buckets = buckets or bucket_count(rows.count())
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
     queries = dealt.select("id", "label", "vec", F.col("b").alias("qb"), every.alias("tb"), F.lit(True).alias("is_query"))
@@ -104,7 +112,7 @@ def _block_pairs(rows: DataFrame, kernel, schema: str, buckets: int) -> DataFram
     return queries.unionByName(targets).groupBy("qb", "tb").applyInPandas(block, schema)
 
 
-def neighbours(df: DataFrame, k: int, id_col: str = "id", vec: str = "vec", buckets: int = 8) -> DataFrame:
+def neighbours(df: DataFrame, k: int, id_col: str = "id", vec: str = "vec", buckets: int | None = None) -> DataFrame:
     """``(src, dst, cosine, rank)``: the k nearest others of every row, exactly; ties by id.
 
     The k best of each pair of buckets are kept before buckets are merged.
@@ -138,7 +146,7 @@ def matrix_audit(df: DataFrame, vec: str = "vec") -> DataFrame:
     )
 
 
-def silhouette(df: DataFrame, id_col: str = "id", label: str = "label", vec: str = "vec", buckets: int = 8) -> DataFrame:
+def silhouette(df: DataFrame, id_col: str = "id", label: str = "label", vec: str = "vec", buckets: int | None = None) -> DataFrame:
     """``(id, label, silhouette)`` with Euclidean distances over clustered rows, exact; singletons have 0.
 
     Pairs of buckets yield sums of distances by (row, label), never the pairs themselves.

@@ -125,9 +125,10 @@ def verdict_legacy(spark, d):
 
 @add(f"""WITH {V_SQL}, tr AS (SELECT *, id % 3 <> 0 AS train FROM v WHERE label <> -1), en AS (SELECT label FROM tr WHERE train GROUP BY label HAVING count(*) >= 3),
 cm AS (SELECT label, p, avg(vec[p]) AS m FROM (SELECT label, vec, unnest(generate_series(1, len(vec))) AS p FROM tr WHERE train AND label IN (SELECT label FROM en)) GROUP BY ALL), c0 AS (SELECT label, list(m ORDER BY p) AS mu FROM cm GROUP BY label), c AS (SELECT label, list_transform(mu, lambda x: x / sqrt(list_dot_product(mu, mu))) AS vec FROM c0),
-te AS (SELECT * FROM tr WHERE NOT train AND label IN (SELECT label FROM en)), n AS (SELECT * FROM (SELECT te.id, te.label, c.label AS nearest, row_number() OVER (PARTITION BY te.id ORDER BY list_dot_product(te.vec, c.vec) DESC, c.label) AS rn FROM te, c) WHERE rn = 1),
-o AS (SELECT te.id, list_dot_product(te.vec, c.vec) AS own FROM te JOIN c USING (label))
-SELECT label, count(*)::BIGINT AS n_test, round_even(avg((nearest = label)::INTEGER), 6) AS strict, round_even(avg((own > 0)::INTEGER), 6) AS direction, round_even(least(avg((nearest = label)::INTEGER), avg((own > 0)::INTEGER)), 6) AS score FROM n JOIN o USING (id) GROUP BY label""")
+te AS (SELECT * FROM tr WHERE NOT train), n AS (SELECT * FROM (SELECT te.id, te.label, c.label AS nearest, row_number() OVER (PARTITION BY te.id ORDER BY list_dot_product(te.vec, c.vec) DESC, c.label) AS rn FROM te, c) WHERE rn = 1),
+r AS (SELECT label, nearest, count(*) AS n FROM n GROUP BY ALL), b AS (SELECT label, sum(n) AS n_test, coalesce(sum(n) FILTER (nearest = label), 0) AS own, max(n) AS most FROM r GROUP BY label),
+k AS (SELECT l.label, coalesce(b.n_test, 0) AS n_test, CASE WHEN l.label IN (SELECT label FROM en) THEN coalesce(own::DOUBLE / n_test, 0) ELSE 0 END AS strict, CASE WHEN l.label IN (SELECT label FROM en) THEN coalesce(most::DOUBLE / n_test, 0) ELSE 0 END AS direction FROM (SELECT DISTINCT label FROM tr) l LEFT JOIN b ON l.label = b.label)
+SELECT label, n_test::BIGINT AS n_test, round_even(strict, 6) AS strict, round_even(direction, 6) AS direction, round_even(least(strict, direction), 6) AS score FROM k""")
 def heldout_centroid_diag(spark, d):
     """DIA-08."""
     h = D.heldout_centroids(vectors(spark, d), F.col("id") % 3 != 0)

@@ -113,8 +113,9 @@ _W = _K + ", wt AS (SELECT label, term, k_in::DOUBLE / n_cluster AS weight, labe
 
 
 @add(f"""WITH {_W}, a AS (SELECT label AS h, term, weight AS wa FROM wt WHERE half = 0), b AS (SELECT label AS f, term, weight AS wb FROM wt WHERE half = 1),
-m AS (SELECT h, f, sum(least(wa, wb)) AS m FROM a JOIN b USING (term) GROUP BY ALL)
-SELECT h, f, round_even(m / ((SELECT sum(wa) FROM a WHERE a.h = m.h) + (SELECT sum(wb) FROM b WHERE b.f = m.f) - m), 6) AS similarity FROM m""")
+m AS (SELECT h, f, sum(least(wa, wb)) AS m FROM a JOIN b USING (term) GROUP BY ALL),
+ta AS (SELECT h, sum(wa) AS ta FROM a GROUP BY h), tb AS (SELECT f, sum(wb) AS tb FROM b GROUP BY f)
+SELECT ta.h, tb.f, round_even(coalesce(m, 0) / (ta + tb - coalesce(m, 0)), 6) AS similarity FROM ta CROSS JOIN tb LEFT JOIN m ON m.h = ta.h AND m.f = tb.f""")
 def weighted_jaccard(spark, d):
     """LEX-10, LEX-11, JOIN-10: even against odd categories."""
     w = L.term_weights(_counts(spark, d)[2]).filter("k_in > 0")

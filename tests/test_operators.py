@@ -169,7 +169,11 @@ def test_replicate_roster_is_prefix_stable(spark):
     short = key(M.geometry_separability(df, ref, 10, 3).collect())
     longer = key(M.geometry_separability(df, ref, 10, 6).collect())
     assert all(longer[k] == v for k, v in short.items()) and len(longer) == 24
-    stable = D.replicate_summary(M.resampling_stability(df, ref, 15, 4)).collect()
+    # four planted clusters are fewer than the ten a viable replicate needs
+    assert {r.status for r in M.resampling_stability(df, ref, 15, 4).collect()} == {"degenerate"}
+    runs = M.resampling_stability(df, ref, 15, 4, least_clusters=3)
+    assert {(r.n_fit, r.n_rows) for r in runs.collect()} == {(460, 460)}
+    stable = D.replicate_summary(runs).collect()
     assert len(stable) == 4 and all(r.mean > 0.8 for r in stable)
 
 
@@ -245,3 +249,76 @@ def test_judges_label_rows_beyond_the_fit(spark):
     assert got.groupby("judge")["id"].nunique().to_dict() == {j: 120 for j in ("ward", "optics", "communities", "kmeans")} and len(got) == 480
     ward = got[got["judge"] == "ward"].set_index("id")["label"]
     assert all(ward[ward.index % 3 == k].nunique() == 1 for k in range(3)) and ward.nunique() == 3
+
+
+def test_heldout_centroids_by_hand(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(k, 0, a, True) for k in range(3)] + [(k, 1, b, True) for k in range(3, 6)] + [(k, 2, c, True) for k in range(6, 8)] + [(k, 3, [0.0, 0.6, 0.8], True) for k in range(8, 11)]
+    # of category 0 one of four comes back, two go to 1, one to 3; of category 1 all; 2 has too few to train, 3 none held out
+    rows += [(20, 0, a, False), (21, 0, b, False), (22, 0, b, False), (23, 0, c, False), (24, 1, b, False), (25, 2, c, False), (26, -1, a, False)]
+    df = spark.createDataFrame(rows, "id long, label int, vec array<double>, train boolean")
+    got = {r.label: (r.n_test, r.strict, r.direction, r.score) for r in D.heldout_centroids(df, F.col("train")).collect()}
+    assert got == {0: (4, 0.25, 0.5, 0.25), 1: (1, 1.0, 1.0, 1.0), 2: (1, 0.0, 0.0, 0.0), 3: (0, 0.0, 0.0, 0.0)}
+
+
+def test_chance_agreement_of_random_labelings():
+    # the published value for four groups of 34 items
+    assert M.agreement_by_chance(34, 4) == pytest.approx(0.3934, abs=5e-5)
+    assert M.agreement_by_chance(0, 4) == 0.0
+
+
+def test_blocks_are_distinct_places_moved_on():
+    rng = np.random.default_rng(0)
+    sizes = np.array([3, 2, 2])
+    starts = N.block_starts(rng, 12, sizes, 4000)
+    assert (starts[:, 1:] >= starts[:, :-1] + sizes[:-1]).all() and (starts[:, -1] + sizes[-1] <= 12).all()
+    # every choice of 3 of 12 - 7 + 3 = 8 places is as likely: 56 outcomes
+    _, count = np.unique(starts, axis=0, return_counts=True)
+    assert len(count) == 56 and count.min() > 40 and count.max() < 110
+    wide = N.block_starts(rng, 2000, np.array([5, 5]), 500)
+    assert (wide[:, 1] - wide[:, 0] >= 5).all() and N.block_starts(rng, 6, np.array([4, 4]), 10) is None
+    assert N.block_starts(rng, 100, np.array([1, 0]), 10) is None
+
+
+def test_groups_dealt_to_buckets_add_up():
+    counts, sizes = [5, 9, 1, 7, 8], [10, 4, 16]
+    dealt = [N.dealt_groups(counts, b, sizes, 300, 1) for b in range(5)]
+    assert all((d.sum(1) == c).all() and (d >= 0).all() for d, c in zip(dealt, counts))
+    assert (sum(dealt) == sizes).all()
+    assert dealt[1][:, 0].mean() == pytest.approx(9 * 10 / 30, abs=0.3)
+
+
+def test_noise_takes_no_part_in_the_permutation(spark):
+    rows = [(k, k % 2, [1.0, 0.1 * k]) for k in range(20)]
+    df = spark.createDataFrame(rows, "id long, label int, vec array<double>")
+    more = df.unionByName(spark.createDataFrame([(k, -1, [-9.0, 9.0]) for k in range(100, 160)], df.schema))
+    c = V.centroids(df)
+    one, two = ([(r.replicate, r.h, round(r.best, 12)) for r in N.permutation_null(x, c, 20, buckets=3).orderBy("replicate", "h").collect()] for x in (df, more))
+    assert one == two and len(one) == 40
+
+
+def test_degeneracy_needs_ten_clusters_and_some_noise():
+    from tessera.config import factorial_degenerate, resample_degenerate, sweep_degenerate
+
+    assert [resample_degenerate(9, 0.3), resample_degenerate(10, 0.04), resample_degenerate(10, 0.05)] == [True, True, False]
+    assert [sweep_degenerate(9, 0.3), sweep_degenerate(10, 0.04), sweep_degenerate(10, 0.05)] == [True, True, False]
+    assert factorial_degenerate(9) and not factorial_degenerate(10)
+
+
+def test_term_sets_without_a_shared_term_have_similarity_0(spark):
+    a = spark.createDataFrame([(0, "x", 0.5), (0, "y", 0.5)], "label int, term string, weight double")
+    b = spark.createDataFrame([(1, "x", 1.0), (2, "z", 1.0)], "label int, term string, weight double")
+    got = {(r.h, r.f): r.similarity for r in L.weighted_jaccard(a, b).collect()}
+    assert got == {(0, 1): pytest.approx(1 / 3), (0, 2): 0.0}
+
+
+def test_blocks_do_not_grow_with_the_rows(spark, monkeypatch):
+    sizes = []
+    for n in (3000, 30_000, 3_000_000):
+        k = V.bucket_count(n)
+        sizes.append(n / k)
+    assert max(sizes) <= V.BUCKET_ROWS and V.bucket_count(0) == 1
+    monkeypatch.setattr(V, "BUCKET_ROWS", 10)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, i % 2, rng.normal(size=3).tolist()) for i in range(60)], "id long, label int, vec array<double>")
+    assert [tuple(r) for r in V.neighbours(df, 2).orderBy("src", "rank").collect()] == [tuple(r) for r in V.neighbours(df, 2, buckets=1).orderBy("src", "rank").collect()]
