@@ -76,16 +76,20 @@ def describe(s: Settings) -> str:
     return "\n".join(f"{f.name}: {getattr(s, f.name)!r} (default {getattr(base, f.name)!r})" for f in fields(s) if getattr(s, f.name) != getattr(base, f.name)) or "defaults"
 
 
-def sweep_degenerate(n_clusters: int, noise: float, least: int = 10, least_noise: float = 0.05) -> bool:
+#: A run with fewer clusters or aligned categories, or with less noise, is degenerate.
+DEGENERATE_ALIGNED, DEGENERATE_NOISE = 10, 0.05
+
+
+def sweep_degenerate(n_clusters: int, noise: float, least: int = DEGENERATE_ALIGNED, least_noise: float = DEGENERATE_NOISE) -> bool:
     """Degeneracy of a sweep or seed run: on the raw cluster count."""
     return n_clusters < least or noise < least_noise
 
 
-def resample_degenerate(n_clusters: int, noise: float, least: int = 10, least_noise: float = 0.05) -> bool:
+def resample_degenerate(n_clusters: int, noise: float, least: int = DEGENERATE_ALIGNED, least_noise: float = DEGENERATE_NOISE) -> bool:
     """Degeneracy of a resampled run: too few raw clusters, or too little left out of them."""
     return n_clusters < least or noise < least_noise
 
 
-def factorial_degenerate(aligned: int, least: int = 10) -> bool:
-    """Degeneracy of a factorial run: on the number of aligned categories."""
-    return aligned < least
+def factorial_degenerate(aligned: int, noise: float, least: int = DEGENERATE_ALIGNED, least_noise: float = DEGENERATE_NOISE) -> bool:
+    """Degeneracy of a factorial run: on the number of aligned categories and the training noise."""
+    return aligned < least or noise < least_noise

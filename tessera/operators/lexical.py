@@ -111,25 +111,52 @@ def weighted_jaccard(weights: DataFrame, other: DataFrame) -> DataFrame:
     return ta.crossJoin(tb).join(mins, ["h", "f"], "left").select("h", "f", F.coalesce(ratio(shared, F.col("ta") + F.col("tb") - shared), F.lit(0.0)).alias("similarity"))
 
 
-def heldout_replication(train: DataFrame, test: DataFrame, q: float = 0.05) -> DataFrame:
+def heldout_replication(train: DataFrame, test: DataFrame, q: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """Two-stage replication of enriched terms by category.
 
     Stage one rejects over all training pairs; stage two corrects the held-out p-values of
     the rejected pairs alone.  ``strict``: rejected again; ``lenient``: positive deviation and
     p < .10; ``direction``: positive deviation.  A category passes with half of its terms
-    strict and half in direction; one without training terms has null rates and fails.
+    strict and half in direction; one without training terms has null rates and fails.  With
+    ``by``, counts carry these run keys and every run has families of its own, each of which
+    one task orders (categories times vocabulary).
     """
-    first = enrichment(train, q).filter("rejected").select("label", "term")
+    by = by or []
+    ws = Workspace(train.sparkSession, "replication")
+    tail = hypergeom_tail(F.col("k_in"), F.col("n_docs"), F.col("df_term"), F.col("n_cluster"))
+    if by:
+        first = benjamini_hochberg_within(ws.write(train.withColumn("p", tail), "tested"), by, "p", q)
+    else:
+        first = enrichment(train, q)
+    first = first.filter("rejected").select(*by, "label", "term")
     z_var = F.col("expected_x") * (1 - F.col("df_term") / F.col("n_docs")) * (F.col("n_docs") - F.col("n_cluster")) / F.greatest(F.col("n_docs") - 1, F.lit(1))
-    held = test.join(first, ["label", "term"]).withColumn("p", hypergeom_tail(F.col("k_in"), F.col("n_docs"), F.col("df_term"), F.col("n_cluster")))
+    held = test.join(first, [*by, "label", "term"]).withColumn("p", tail)
     held = held.withColumn("expected_x", F.col("n_cluster") * F.col("df_term") / F.col("n_docs")).withColumn("z", (F.col("k_in") - F.col("expected_x")) / F.sqrt(F.greatest(z_var, F.lit(1e-12))))
-    nested = benjamini_hochberg(Workspace(train.sparkSession, "nested").write(held, "held"), "p", q)
-    by = nested.groupBy("label").agg(F.count(F.lit(1)).alias("n_terms"), F.count_if("rejected").alias("n_strict"), F.count_if((F.col("z") > 0) & (F.col("p") < 0.10)).alias("n_lenient"), F.count_if(F.col("z") > 0).alias("n_direction"))
-    cats = train.select("label").distinct().join(by, "label", "left")
-    rates = cats.select("label", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), *[ratio(F.col(f"n_{k}"), F.col("n_terms")).alias(k) for k in ("strict", "lenient", "direction")])
+    held = ws.write(held, "held")
+    nested = benjamini_hochberg_within(held, by, "p", q) if by else benjamini_hochberg(held, "p", q)
+    rated = nested.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n_terms"), F.count_if("rejected").alias("n_strict"), F.count_if((F.col("z") > 0) & (F.col("p") < 0.10)).alias("n_lenient"), F.count_if(F.col("z") > 0).alias("n_direction"))
+    cats = train.select(*by, "label").distinct().join(rated, [*by, "label"], "left")
+    rates = cats.select(*by, "label", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), *[ratio(F.col(f"n_{k}"), F.col("n_terms")).alias(k) for k in ("strict", "lenient", "direction")])
     return rates.withColumn("passes", F.coalesce((F.col("strict") >= 0.5) & (F.col("direction") >= 0.5), F.lit(False))).withColumn("score", F.when(F.col("strict").isNotNull() & F.col("direction").isNotNull(), F.least("strict", "direction")))
 
 
+def replication_by_run(docs: DataFrame, labels: DataFrame, run: list[str], stop: tuple[str, ...] = (), min_df: int = 3, max_features: int = 6000, q: float = 0.05) -> DataFrame:
+    """``heldout_replication`` of every run of ``labels (run..., id, train, label)`` over the texts of ``docs (id, text)``.
+
+    Each run's vocabulary is that of its own training texts.  Texts are cut into terms once,
+    whatever the number of runs.
+    """
+    ws = Workspace(docs.sparkSession, "runs")
+    terms_of = ws.write(occurrences(docs, stop, 2, ("id",)).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c")), "terms")
+    held = ws.write(labels.join(terms_of, "id"), "incidence")
+    counted = held.filter("train").groupBy(*run, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf")).filter(F.col("df") >= min_df)
+    order = Window.partitionBy(*run).orderBy(F.desc("tf"), "term")
+    vocab = ws.write(counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_features).select(*run, "term"), "vocabulary")
+    inc = ws.write(held.join(vocab, [*run, "term"]).select(*run, "id", "train", "label", "term"), "known")
+    train, test = (ws.write(term_counts(labels.filter(part), inc.filter(part), run), "counts") for part in ("train", "not train"))
+    return heldout_replication(train, test, q, run)
+
+
 def tfidf(counts: DataFrame, n_docs: Column, df_term: Column, tf: Column) -> DataFrame:
     """Adds ``tfidf`` = tf times smooth inverse document frequency, scaled to unit length by label."""
     raw = counts.withColumn("__x", tf * (F.log((1 + n_docs) / (1 + df_term)) + 1))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.config import resample_degenerate, sweep_degenerate
+from tessera.config import DEGENERATE_ALIGNED, DEGENERATE_NOISE, resample_degenerate, sweep_degenerate
 from tessera.operators import kernels as K
 
 #: Rows a density or hierarchy kernel is fitted on at most; every further row is predicted.
@@ -263,38 +263,102 @@ def geometry_separability(df: DataFrame, partition: DataFrame, per_category: int
     return _experiment(df, partition, replicates, body, id_col, limit)
 
 
+def _refit(x: np.ndarray, ref: np.ndarray, ses: np.ndarray, seed: int, mcs: int, train_share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
+    """One run: training rows, table of categories by clusters, labels of all rows, and the cluster aligned to each category's place.
+
+    Clusters are fitted on the training sessions and aligned by the assignment of greatest
+    overlap; all other rows are predicted.
+    """
+    names, cats = np.array(sorted(set(ses.tolist()))), sorted(set(ref.tolist()) - {-1})
+    train = np.isin(ses, np.random.default_rng(seed).choice(names, int(round(train_share * len(names))), replace=False))
+    got, info = K.density_clusters(x[train], mcs)
+    k = got.max() + 1 if len(got) else 0
+    table = np.array([[((ref[train] == c) & (got == g)).sum() for g in range(k)] for c in cats]) if k and cats else np.zeros((len(cats), 0))
+    pairs = {a: b for a, b in K.hungarian(table.astype(float)) if table[a, b] > 0} if table.size else {}
+    raw = np.full(len(x), -1)
+    raw[train] = got
+    if train.any() and not train.all():
+        raw[~train] = K.predict_density(x[train], got, info["core"], x[~train], mcs)
+    return train, table, raw, pairs
+
+
+def _fit_table(df: DataFrame, partition: DataFrame, id_col: str, session: str, limit: int):
+    """Ids, projections, reference labels and sessions of at most ``limit`` rows in hash order, and the number of all."""
+    pdf = df.select(id_col, "proj", session).orderBy(F.xxhash64(id_col), id_col).limit(limit).join(partition, id_col).toPandas().sort_values(id_col)
+    return pdf[id_col].to_numpy(), np.array(pdf["proj"].tolist(), float), pdf["label"].to_numpy(), pdf[session].to_numpy(), df.count()
+
+
+def _grid(spark, seeds: int, sizes: list[int]) -> DataFrame:
+    grid = spark.range(seeds).select(F.col("id").cast("int").alias("seed"), F.explode(F.array(*[F.lit(m) for m in sizes])).alias("mcs"))
+    return grid.repartition(min(64, seeds * len(sizes)))
+
+
 def factorial(df: DataFrame, partition: DataFrame, seeds: int, sizes: list[int], id_col: str = "id", session: str = "session", train_share: float = 0.7, limit: int = 5000) -> DataFrame:
     """Refit on training sessions, align by greatest overlap, predict the rest: one row a run and category.
 
-    Columns: ``seed, mcs, category, reconstructed, overlap, held_share``; a category without an
-    aligned cluster is not reconstructed and has null, never 0.
+    Columns: ``seed, mcs, category, reconstructed, overlap, held_share, n_fit, n_rows``; a category
+    without an aligned cluster is not reconstructed and has null, never 0.
     """
     spark = df.sparkSession
-    pdf = df.select(id_col, "proj", session).orderBy(F.xxhash64(id_col), id_col).limit(limit).join(partition, id_col).toPandas().sort_values(id_col)
-    x, ref, ses = np.array(pdf["proj"].tolist(), float), pdf["label"].to_numpy(), pdf[session].to_numpy()
-    shared = spark.sparkContext.broadcast((x, ref, ses))
+    _, *held, n_rows = _fit_table(df, partition, id_col, session, limit)
+    shared = spark.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in batches:
             x, ref, ses = shared.value
-            names = np.array(sorted(set(ses.tolist())))
             cats = sorted(set(ref.tolist()) - {-1})
             for s, m in zip(chunk["seed"], chunk["mcs"]):
-                train = np.isin(ses, np.random.default_rng(int(s)).choice(names, int(round(train_share * len(names))), replace=False))
-                got, info = K.density_clusters(x[train], int(m))
-                k = got.max() + 1 if len(got) else 0
-                table = np.array([[((ref[train] == c) & (got == g)).sum() for g in range(k)] for c in cats]) if k and cats else np.zeros((len(cats), 0))
-                pairs = {a: b for a, b in K.hungarian(table.astype(float)) if table[a, b] > 0} if table.size else {}
-                held = K.predict_density(x[train], got, info["core"], x[~train], int(m)) if train.any() else np.zeros(0, int)
+                train, table, raw, pairs = _refit(x, ref, ses, int(s), int(m), train_share)
                 rows = []
                 for a, c in enumerate(cats):
-                    mine = ref[~train] == c
-                    share = float((held[mine] == pairs[a]).mean()) if a in pairs and mine.any() else None
-                    rows.append((int(s), int(m), c, a in pairs, float(table[a, pairs[a]] / max(1, (ref[train] == c).sum())) if a in pairs else None, share))
-                yield pd.DataFrame(rows, columns=["seed", "mcs", "category", "reconstructed", "overlap", "held_share"])
+                    mine = (ref == c) & ~train
+                    share = float((raw[mine] == pairs[a]).mean()) if a in pairs and mine.any() else None
+                    rows.append((int(s), int(m), c, a in pairs, float(table[a, pairs[a]] / max(1, ((ref == c) & train).sum())) if a in pairs else None, share, len(x), n_rows))
+                yield pd.DataFrame(rows, columns=["seed", "mcs", "category", "reconstructed", "overlap", "held_share", "n_fit", "n_rows"])
 
-    grid = spark.range(seeds).select(F.col("id").cast("int").alias("seed"), F.explode(F.array(*[F.lit(m) for m in sizes])).alias("mcs"))
-    return grid.repartition(min(64, seeds * len(sizes))).mapInPandas(run, "seed int, mcs int, category int, reconstructed boolean, overlap double, held_share double")
+    return _grid(spark, seeds, sizes).mapInPandas(run, "seed int, mcs int, category int, reconstructed boolean, overlap double, held_share double, n_fit int, n_rows bigint")
+
+
+def factorial_labels(df: DataFrame, partition: DataFrame, seeds: int, sizes: list[int], id_col: str = "id", session: str = "session", train_share: float = 0.7, limit: int = 5000) -> DataFrame:
+    """``(seed, mcs, id, train, label)`` of every run of ``factorial``: its labels under the names of the categories they are aligned to, else -1."""
+    spark = df.sparkSession
+    *held, _ = _fit_table(df, partition, id_col, session, limit)
+    shared = spark.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in batches:
+            ids, x, ref, ses = shared.value
+            cats = sorted(set(ref.tolist()) - {-1})
+            for s, m in zip(chunk["seed"], chunk["mcs"]):
+                train, _, raw, pairs = _refit(x, ref, ses, int(s), int(m), train_share)
+                label = np.full(len(x), -1)
+                for a, g in pairs.items():
+                    label[raw == g] = cats[a]
+                yield pd.DataFrame({"seed": int(s), "mcs": int(m), "id": ids, "train": train, "label": label})
+
+    return _grid(spark, seeds, sizes).mapInPandas(run, "seed int, mcs int, id bigint, train boolean, label int")
+
+
+def replication_runs(labels: DataFrame, rates: DataFrame, run: list[str], categories: int) -> DataFrame:
+    """One row a run: aligned categories, training noise, degeneracy, categories without estimate, and passes.
+
+    ``labels`` are those of ``factorial_labels``, ``rates`` those of ``replication_by_run``.
+    """
+    inside = labels.filter("train").groupBy(*run).agg(
+        F.countDistinct(F.when(F.col("label") != -1, F.col("label"))).alias("aligned"), F.count(F.lit(1)).alias("train_total"), F.count_if(F.col("label") != -1).alias("train_assigned")
+    )
+    passed = rates.groupBy(*run).agg(F.count_if("passes").alias("n_pass"), F.count_if(F.col("strict").isNotNull()).alias("n_estimated"))
+    noise = 1 - F.col("train_assigned") / F.col("train_total")
+    out = inside.join(passed, run, "left").withColumn("noise", F.round(noise, 6))
+    degenerate = (F.col("aligned") < DEGENERATE_ALIGNED) | (noise < DEGENERATE_NOISE)
+    return out.withColumn("degenerate", degenerate).withColumn("n_pass", F.coalesce("n_pass", F.lit(0))).withColumn("n_not_reconstructed", F.lit(categories) - F.coalesce("n_estimated", F.lit(0))).drop("n_estimated")
+
+
+def replication_margins(rates: DataFrame, runs: DataFrame, run: list[str], threshold: float = 0.5) -> DataFrame:
+    """``(label, n, median_margin, min_margin, max_margin, n_within_0_05)`` of the viable runs' distance to the pass threshold."""
+    margin = F.least(F.col("strict"), F.col("direction")) - threshold
+    alive = rates.filter("strict is not null and direction is not null").join(runs.filter("not degenerate").select(*run), run).withColumn("m", margin)
+    return alive.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.percentile("m", 0.5).alias("median_margin"), F.min("m").alias("min_margin"), F.max("m").alias("max_margin"), F.count_if(F.abs("m") <= 0.05).alias("n_within_0_05"))
 
 
 def best_mapping(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import diagnose as D
+from tessera.operators import lexical as L
 from tessera.operators import models as M
 from tessera.operators import nulls as N
 from tessera.operators.vectors import centroids, coverage_by, nearest_centroid
 from tessera.plans.lineage import Workspace
-from tessera.queries.base import DOMAINS, Family, domain_of, registered, sentences, vectors
+from tessera.queries.base import DOMAINS, STOP, Family, domain_of, registered, sentences, vectors
+from tessera.sources.tables import table
 
 family = Family()
 add = family.add
@@ -83,6 +85,31 @@ def factorial_run(spark, d):
     return M.factorial(p, p.select("id", "label"), 10, [8, 12])
 
 
+def _replication(spark, d):
+    """Labels and rates of the factorial over the documents that have a vector."""
+    ws, p = Workspace(spark, "factorial"), _projected(spark, d)
+    labels = ws.write(M.factorial_labels(p, p.select("id", "label"), 2, [8, 12]), "labels")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(p.select("id"), "id", "left_semi")
+    return labels, ws.write(L.replication_by_run(docs, labels, ["seed", "mcs"], STOP, 3, 2000), "rates")
+
+
+@add()
+def replication_runs(spark, d):
+    """DIA-09, DIA-10: refit, align, predict and replicate the terms of every run; degeneracy and passes."""
+    labels, rates = _replication(spark, d)
+    return M.replication_runs(labels, rates, ["seed", "mcs"], 10)
+
+
+@add()
+def replication_summary(spark, d):
+    """DIA-10b, AGG-08..11: cells and margins of the runs themselves."""
+    labels, rates = _replication(spark, d)
+    runs = M.replication_runs(labels, rates, ["seed", "mcs"], 10)
+    cells = D.factorial_cells(runs.withColumn("cache", F.lit("A"))).select(F.lit("cell").alias("row"), F.col("mcs").alias("key"), F.col("n_viable").alias("n"), F.col("median").alias("value"))
+    margins = M.replication_margins(rates, runs, ["seed", "mcs"]).select(F.lit("margin").alias("row"), F.col("label").alias("key"), "n", F.col("median_margin").alias("value"))
+    return cells.unionByName(margins)
+
+
 @add()
 def second_register(spark, d):
     """XR-03, XR-04: clusters of the half not covered by the other half's centroids, with their spread over sessions."""

@@ -302,7 +302,7 @@ def test_degeneracy_needs_ten_clusters_and_some_noise():
 
     assert [resample_degenerate(9, 0.3), resample_degenerate(10, 0.04), resample_degenerate(10, 0.05)] == [True, True, False]
     assert [sweep_degenerate(9, 0.3), sweep_degenerate(10, 0.04), sweep_degenerate(10, 0.05)] == [True, True, False]
-    assert factorial_degenerate(9) and not factorial_degenerate(10)
+    assert [factorial_degenerate(9, 0.3), factorial_degenerate(10, 0.04), factorial_degenerate(10, 0.05)] == [True, True, False]
 
 
 def test_term_sets_without_a_shared_term_have_similarity_0(spark):
@@ -322,3 +322,28 @@ def test_blocks_do_not_grow_with_the_rows(spark, monkeypatch):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(i, i % 2, rng.normal(size=3).tolist()) for i in range(60)], "id long, label int, vec array<double>")
     assert [tuple(r) for r in V.neighbours(df, 2).orderBy("src", "rank").collect()] == [tuple(r) for r in V.neighbours(df, 2, buckets=1).orderBy("src", "rank").collect()]
+
+
+def test_replication_chain_on_planted_topics(spark):
+    rng = np.random.default_rng(7)
+    centres = np.eye(12)[:, :6] * 6 + np.eye(12)[:, 6:] * 3
+    rows = []
+    for k in range(960):
+        c = k % 12
+        noise = k % 16 == 15
+        said = [f"topic{c}w{rng.integers(4)}" for _ in range(3)] if not noise else [f"any{rng.integers(40)}" for _ in range(3)]
+        at = rng.normal(centres[c], 0.15) if not noise else rng.uniform(-4, 10, 6)
+        rows.append((k, f"s{rng.integers(20)}", -1 if noise else c, at.tolist(), " ".join(said + ["the", "race"])))
+    df = spark.createDataFrame(rows, "id long, session string, label int, proj array<double>, text string")
+    labels = M.factorial_labels(df, df.select("id", "label"), 2, [8, 10])
+    assert labels.groupBy("seed", "mcs").count().filter("count = 960").count() == 4
+    rates = L.replication_by_run(df.select("id", "text"), labels, ["seed", "mcs"], ("the",))
+    runs = M.replication_runs(labels, rates, ["seed", "mcs"], 12).collect()
+    assert len(runs) == 4 and all(r.aligned >= 11 and r.n_pass >= 11 and r.noise > 0 and r.n_not_reconstructed <= 1 for r in runs)
+    # one family a run gives what the run alone gives
+    one = labels.filter("seed = 1 and mcs = 8")
+    alone = L.replication_by_run(df.select("id", "text"), one, ["seed"], ("the",))
+    key = lambda f: sorted((r.label, r.n_terms, r.strict, r.direction, r.passes) for r in f.collect())
+    assert key(rates.filter("seed = 1 and mcs = 8")) == key(alone)
+    margins = M.replication_margins(rates, M.replication_runs(labels, rates, ["seed", "mcs"], 12).withColumn("degenerate", F.lit(False)), ["seed", "mcs"]).collect()
+    assert len(margins) >= 11 and all(r.min_margin <= r.median_margin <= r.max_margin <= 0.5 for r in margins)
