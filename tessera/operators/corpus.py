@@ -49,26 +49,32 @@ def provenance_table(df: DataFrame, meta: list[str]) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).withColumn("pct", F.bround(100 * ratio(F.col("n"), F.col("total")), 1)).drop("total")
 
 
-def mask_expression(text: Column, patterns: list[tuple[str, str]]) -> Column:
+#: Classes that leave a placeholder; names of any other class leave a space.
+ENTITY_CLASSES = ("PERSON", "TEAM", "PLACE")
+
+
+def mask_expression(text: Column, patterns: list[tuple[str, str]], classes: tuple[str, ...] = ENTITY_CLASSES) -> Column:
     """Masking by a short list of (variant, class), as nested replacements in the JVM.
 
     Longest variants first, stable among equals; case-insensitive at word boundaries with a
-    trailing possessive; class DROP leaves a space; white space is squeezed at the end.
+    trailing possessive; a class outside ``classes`` leaves a space; white space is squeezed
+    at the end.
     """
     out = text
     for variant, cls in sorted((p for p in patterns if len(p[0]) >= 2), key=lambda p: -len(p[0])):
         escaped = "".join("\\" + c if not c.isalnum() and c != " " else c for c in variant)
-        out = F.regexp_replace(out, rf"(?iu)\b{escaped}\b('s)?", " " if cls == "DROP" else f"<{cls}>")
+        out = F.regexp_replace(out, rf"(?iu)\b{escaped}\b('s)?", f"<{cls}>" if cls in classes else " ")
     return strip_ws(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
-def mask_sentences(df: DataFrame, gazetteer: DataFrame, id_col: str = "sentence_id", text_col: str = "text", max_variants: int = 200_000) -> DataFrame:
-    """Adds ``masked``: names of the gazetteer replaced by their class.
+def mask_sentences(df: DataFrame, gazetteer: DataFrame, id_col: str = "sentence_id", text_col: str = "text", max_variants: int = 200_000, classes: tuple[str, ...] = ENTITY_CLASSES) -> DataFrame:
+    """Adds ``masked``: names of the gazetteer replaced by their class, or by a space if it is not among ``classes``.
 
     The variants are compiled into automata of at most ``max_variants`` entries; a larger
     gazetteer is applied in that many variants at a time, longest first, so what is
     broadcast stays bounded.  The longest variant that matches at a place wins, as when
-    variants are replaced one by one from the longest on.
+    variants are replaced one by one from the longest on; what an earlier variant put in
+    is not read again.
     """
     spark = df.sparkSession
     cls = F.upper(F.trim("category"))
@@ -86,8 +92,8 @@ def mask_sentences(df: DataFrame, gazetteer: DataFrame, id_col: str = "sentence_
         part = variants.filter(F.col("slice") == k).drop("slice") if slices > 1 else variants
         table = spark.sparkContext.broadcast([(r["v"], r["cls"]) for r in part.select("v", "cls").collect()])
 
-        def run(batches: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
-            mask = compile_masker(table.value)
+        def run(batches: Iterator[pd.DataFrame], table=table, last=k == slices - 1) -> Iterator[pd.DataFrame]:
+            mask = compile_masker(table.value, classes, last=last)
             for pdf in batches:
                 yield pdf.assign(masked=pdf["masked"].map(lambda t: mask(t) if isinstance(t, str) else None))
 
@@ -95,13 +101,23 @@ def mask_sentences(df: DataFrame, gazetteer: DataFrame, id_col: str = "sentence_
     return out
 
 
-def compile_masker(variants: list[tuple[str, str]]):
-    """Function that masks one text by an automaton over lower-cased text."""
+#: Stands for a placeholder between two passes of the automaton: private-use characters no variant holds.
+_HELD = 0xE000
+
+
+def compile_masker(variants: list[tuple[str, str]], classes: tuple[str, ...] = ENTITY_CLASSES, last: bool = True):
+    """Function that masks one text by an automaton over lower-cased text.
+
+    A letter whose lower case is longer stays as it is, so places in both texts agree.  Until
+    the ``last`` pass placeholders are single characters that nothing matches.
+    """
     import ahocorasick
 
+    held = {c: chr(_HELD + k) for k, c in enumerate(classes)}
+    shown = {_HELD + k: f"<{c}>" for k, c in enumerate(classes)}
     auto = ahocorasick.Automaton()
     for v, cls in variants:
-        auto.add_word(v, (len(v), "" if cls == "DROP" else f"<{cls}>"))
+        auto.add_word(v, (len(v), held.get(cls, "")))
     auto.make_automaton()
 
     def word(c: str) -> bool:
@@ -110,8 +126,8 @@ def compile_masker(variants: list[tuple[str, str]]):
     def mask(text: str) -> str:
         squeezed = " ".join(text.split())
         low = squeezed.lower()
-        if len(low) != len(squeezed) or not len(auto):
-            low = squeezed = low if len(low) != len(squeezed) else squeezed
+        if len(low) != len(squeezed):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in squeezed)
         found = []
         for end, (size, label) in auto.iter(low) if len(auto) else ():
             start = end - size + 1
@@ -127,7 +143,8 @@ def compile_masker(variants: list[tuple[str, str]]):
         for a, b, label in sorted(spans):
             parts += [squeezed[at:a], label or " "]
             at = b
-        return " ".join(("".join(parts) + squeezed[at:]).split())
+        out = " ".join(("".join(parts) + squeezed[at:]).split())
+        return out.translate(shown) if last else out
 
     return mask
 

@@ -14,6 +14,7 @@ from tessera.operators import network as W
 from tessera.operators import nulls as N
 from tessera.operators import registers as R
 from tessera.operators import vectors as V
+from tessera.operators.ordering import positional_ids
 from tessera.plans.lineage import Workspace
 from tessera.queries.base import DOMAIN_SQL, V_SQL, Family, domain_of, sentences, vectors
 from tessera.queries.compose import _TWO, _edges
@@ -98,14 +99,13 @@ def diagnostic_detail(spark, d):
     return a.join(b, "label", "left").select("label", r6(F.coalesce("mc", "single")).alias("score"), F.col("mc").isNotNull().alias("from_replicates"))
 
 
-@add()
+@add("""WITH s AS (SELECT DISTINCT video_id AS session FROM sessions WHERE video_id IS NOT NULL), r AS (SELECT session, row_number() OVER (ORDER BY sha256('42-' || session), session) AS rn, count(*) OVER () AS n FROM s)
+SELECT session, 10 * rn <= 7 * n AS train FROM r""")
 def session_split(spark, d):
-    """SMP-01, SMP-02, SMP-06: a seeded share of the sorted sessions trains; rows follow their session by a join."""
-    s = one_delivery(table(spark, d, "sessions").filter("video_id is not null"), "video_id").select(F.col("video_id").alias("session"))
-    names = np.array([r["session"] for r in s.orderBy("session").collect()])
-    chosen = np.random.default_rng(42).choice(names, int(round(0.7 * len(names))), replace=False) if len(names) else []
-    train = spark.createDataFrame([(str(x),) for x in chosen], "session string").withColumn("train", F.lit(True))
-    return s.join(train, "session", "left").select("session", F.coalesce("train", F.lit(False)).alias("train"))
+    """SMP-01, SMP-02, SMP-06: a seeded share of the sessions trains, the first in a portable hash order."""
+    s = table(spark, d, "sessions").filter("video_id is not null").select(F.col("video_id").alias("session")).distinct()
+    ranked = positional_ids(s.withColumn("h", F.sha2(F.concat(F.lit("42-"), "session"), 256)), ["h", "session"], "at")
+    return ranked.select("session", (10 * (F.col("at") + 1) <= 7 * F.lit(s.count())).alias("train"))
 
 
 @add()

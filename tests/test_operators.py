@@ -26,6 +26,18 @@ def test_mask_longest_first_with_possessive(spark):
     assert mask("Max Power's car and max's team") == "<TEAM> car and <PERSON>" and mask("maxi stays") == "maxi stays"
 
 
+def test_mask_keeps_letters_with_longer_lower_case_and_blanks_other_classes(spark):
+    mask = O.compile_masker([("ali veli", "PERSON"), ("acme", "SPONSOR"), ("person", "PLACE")])
+    assert mask("İstanbul GP Winner ALI VELI") == "İstanbul GP Winner <PERSON>"
+    assert mask("the Acme car") == "the car" and O.compile_masker([("acme", "SPONSOR")], ("SPONSOR",))("the Acme car") == "the <SPONSOR> car"
+    names = spark.createDataFrame([("Ali Veli", "person", None), ("person", "PLACE", ["veli"]), ("acme", "sponsor", [])], "canonical string, category string, variants array<string>")
+    df = spark.createDataFrame([(1, "İzmir: Ali Veli's person, Veli at Acme"), (2, None)], "sentence_id int, text string")
+    whole = {r.sentence_id: r.masked for r in O.mask_sentences(df, names).collect()}
+    # one variant at a time gives the same: what an earlier one put in is not read again
+    assert whole == {r.sentence_id: r.masked for r in O.mask_sentences(df, names, max_variants=1).collect()}
+    assert whole == {1: "İzmir: <PERSON> <PLACE>, <PLACE> at", 2: None}
+
+
 def test_recogniser_spans_go_in_from_the_right(spark):
     df = spark.createDataFrame([("ann met <TEAM> bob",), (None,)], "text string")
     find = lambda t: [(0, 3, "P"), (4, 12, "Q"), (15, 18, "P"), (16, 18, "R")]
