@@ -5,7 +5,8 @@ markup, accents and invisible characters gone), so a leak is a run of characters
 survives any reformatting.  By the q-gram lemma a region that is an edited copy shares a
 minimum of q-grams with the passage within a band of diagonals, derived for each passage
 from the length and share that verification asks for; bands below it are dropped, as are
-passages too few of whose words stand in their bands.  The rest are aligned, and the words
+passages too few of whose neighbouring words stand together, in the text (one pass of an
+automaton, before anything else) and in their bands.  The rest are aligned, and the words
 of the passage that align exactly decide.  Documents stream through once; only the index of the test items, whose
 size is checked, is broadcast, and larger item tables are taken in blocks.
 """
@@ -18,6 +19,7 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +140,82 @@ def _word_bounds(words: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
-def regions(raw: np.ndarray, texts: list[str], starts: np.ndarray, ix: PassageIndex, band: int) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+class Sieve:
+    """Pairs of texts and passages of which enough neighbouring words occur in the text, wherever.
+
+    A word changed parts two pairs of neighbours and a word put in one, so a leak keeps a
+    number of pairs together, and a piece of one with rare words holds one of them at least
+    (see ``may_leak``, which asks for this and more within a band).  All pairs and rare words
+    of all passages are looked for in one pass over a text.
+    """
+
+    def __init__(self, ix: PassageIndex, least_words: int, share: float):
+        import ahocorasick
+
+        self.least, self.share = least_words, share
+        self.width = max([1, *(len(x) for x in ix.pairs)]) + 8 * least_words  # more than any span, so spans of two passages stay apart
+        ids: dict[str, int] = {}
+        place = lambda p, i: p * self.width + 2 * least_words + i
+        of = [(ids.setdefault(w, len(ids)), place(p, i), False) for p, ws in enumerate(ix.pairs) for i, w in enumerate(ws)]
+        of += [(ids.setdefault(ws[i], len(ids)), place(p, int(i)), True) for p, ws in enumerate(ix.spelled) for i in np.nonzero(ix.rare[p])[0]]
+        order = sorted(of)
+        self.at = np.array([x for _, x, _ in order], np.int64)
+        self.odd = np.array([x for _, _, x in order], bool)
+        self.first = np.searchsorted(np.array([k for k, _, _ in order], np.int64), np.arange(len(ids) + 1))
+        self.passages = len(ix.raw)
+        self.auto = ahocorasick.Automaton()
+        for w, k in ids.items():
+            self.auto.add_word(w, k)
+        self.auto.make_automaton()
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """Sorted ``text * passages + passage`` of what may hold a leak."""
+        none = np.zeros(0, np.int64)
+        found = [{k for _, k in self.auto.iter(t)} if len(self.auto) else () for t in texts]
+        size = np.array([len(f) for f in found], np.int64)
+        if not size.sum():
+            return none
+        ids = np.fromiter((k for f in found for k in f), np.int64, size.sum())
+        n = self.first[ids + 1] - self.first[ids]
+        entry = np.repeat(self.first[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        key = np.repeat(np.repeat(np.arange(len(texts)), size), n) * (self.passages * self.width) + self.at[entry]
+        odd = self.odd[entry]
+        rare, key = np.sort(key[odd]), key[~odd]
+        own = key // self.width
+        count = np.bincount(own)
+        key = np.sort(key[count[own] >= self.least // 4 * _kept(5, self.share)])
+        own = key // self.width
+        held = []
+        for k in range(self.least, 2 * self.least):
+            j = _kept(k, self.share)
+            held.append(own[: len(key) - j + 1][key[j - 1 :] - key[: len(key) - j + 1] <= k - 2] if len(key) >= j else none)
+        spans = []
+        for k in range(4, self.least):
+            for j, named in ((_kept(k, self.share), True), (int(np.ceil(self.share * k - 1e-9)) - 1, False)):
+                if len(key) < j:
+                    continue
+                a, b = key[: len(key) - j + 1], key[j - 1 :]
+                ok = b - a <= k - 2
+                start, end = b[ok] - k + 2, a[ok] + k  # the words of any stretch of that length with these pairs
+                if named:
+                    some = np.searchsorted(rare, end) > np.searchsorted(rare, start)
+                    start, end = start[some], end[some]
+                spans.append(np.stack([start, end]))
+        if spans:
+            start, end = np.concatenate(spans, axis=1)
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], end[order]
+            before = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
+            new = np.maximum(end - np.maximum(start, before), 0)
+            words = np.bincount(start // self.width, weights=new) if len(start) else none
+            held.append(np.nonzero(words >= self.least)[0])
+        return np.unique(np.concatenate(held))
+
+
+def regions(raw: np.ndarray, texts: list[str], starts: np.ndarray, ix: PassageIndex, band: int, wanted: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
     """Candidate regions ``(low diagonal, high diagonal, from, to)`` by text and passage of concatenated texts.
 
+    Of texts and passages only the ``wanted`` are looked at (sorted ``text * passages + passage``).
     These are bands of diagonals that share with the passage the q-grams any leak of it must:
     ``need`` of which one touches a rare word, or ``sure`` of any kind; where a rare word is
     shorter than a q-gram, the letters of the text decide whether it may be there.  Bands overlap
@@ -159,9 +234,7 @@ def regions(raw: np.ndarray, texts: list[str], starts: np.ndarray, ix: PassageIn
     where = at - starts[text]
     diagonal = where - ix.place[entry] + (1 << 20)
     pair = text.astype(np.int64) * len(ix.raw) + pid
-    # a pair's hits come before its bands: most pairs have too few
-    uniq, index, size = np.unique(pair, return_inverse=True, return_counts=True)
-    stay = (size >= ix.need[uniq % len(ix.raw)])[index]
+    stay = wanted[np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)] == pair
     odd, where, diagonal, owner = odd[stay], where[stay], diagonal[stay], pair[stay] << 33
     short = np.array([bool(x) for x in ix.short])
     found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
@@ -184,13 +257,17 @@ def regions(raw: np.ndarray, texts: list[str], starts: np.ndarray, ix: PassageIn
             found.setdefault((a, b), []).append(tuple(part))
     for key, parts in found.items():
         if len(parts) > 1:
-            parts = sorted(set(parts), key=lambda r: (r[0], -r[1]))
-            found[key] = [r for r in parts if not any(o is not r and o[0] <= r[0] and r[1] <= o[1] and o[2] <= r[2] and r[3] <= o[3] for o in parts)]
+            # the alignment of a region reaches so far beyond it that it sees the regions almost within it too
+            kept: list[tuple[int, int, int, int]] = []
+            for r in sorted(set(parts), key=lambda r: (r[0] - r[1], r[2] - r[3], r)):
+                if not any(o[0] - DRIFT // 2 <= r[0] and r[1] <= o[1] + DRIFT // 2 and o[2] - PAD // 2 <= r[2] and r[3] <= o[3] + PAD // 2 for o in kept):
+                    kept.append(r)
+            found[key] = kept
     return found
 
 
-def may_leak(text: str, parts: list[tuple[int, int, int, int]], ix: PassageIndex, p: int, least_words: int, share: float) -> bool:
-    """Can the words of passage ``p`` that stand in the bands make up a leak, whatever the alignment?
+def may_leak(text: str, parts: list[tuple[int, int, int, int]], ix: PassageIndex, p: int, least_words: int, share: float) -> list[tuple[int, int, int, int]]:
+    """The bands whose words of passage ``p`` can make up a leak or a piece of one, whatever the alignment; none if all of them cannot.
 
     A word changed parts two pairs of neighbours and a word put in one, so a leak keeps a number
     of pairs together in its band: in one stretch, or in pieces of four words or more that
@@ -203,12 +280,17 @@ def may_leak(text: str, parts: list[tuple[int, int, int, int]], ix: PassageIndex
         lo, hi = low - DRIFT, high + DRIFT
         row[i:j] = [find(w, max(0, x + lo), max(0, x + hi + len(w))) >= 0 for w, x in zip(pairs[i:j], places[i:j])]
     if held.any(axis=0).sum() < least_words // 4 * _kept(5, share):
-        return False
+        return []
     total = np.zeros((len(parts), len(words)), int)
     total[:, 1:] = np.cumsum(held, axis=1)
-    for n in range(least_words, min(len(words), 2 * least_words - 1) + 1):
-        if (total[:, n - 1 :] - total[:, : len(words) - n + 1] >= _kept(n, share)).any():
-            return True
+    least = [_kept(n, share) for n in range(4, min(len(words), 2 * least_words - 1) + 1)]
+    whole, cover = np.zeros(len(parts), bool), np.zeros((len(parts), len(words) + 1), int)
+    spans = {n: total[:, n - 1 :] - total[:, : len(words) - n + 1] for n, j in zip(range(4, 4 + len(least)), least) if total[:, -1].max() >= j}
+    for n in range(least_words, 4 + len(least)):
+        if n in spans:
+            whole |= (spans[n] >= _kept(n, share)).any(axis=1)
+    if whole.all():
+        return parts
     here = np.zeros((len(parts), len(words)), bool)
     for row, (low, high, *_) in zip(here, parts):
         for i in np.nonzero(rare)[0]:
@@ -216,16 +298,21 @@ def may_leak(text: str, parts: list[tuple[int, int, int, int]], ix: PassageIndex
             row[i] = find(words[i], max(0, x + low - DRIFT), max(0, x + high + DRIFT + len(words[i]))) >= 0
     odd, met = np.concatenate([[0], np.cumsum(rare)]), np.zeros((len(parts), len(words) + 1), int)
     met[:, 1:] = np.cumsum(here, axis=1)
-    cover = np.zeros((len(parts), len(words) + 1), int)
-    for n in range(4, min(len(words), least_words - 1) + 1):
-        kept, odds = total[:, n - 1 :] - total[:, : len(words) - n + 1], odd[n:] - odd[:-n]
-        named = (2 * (met[:, n:] - met[:, :-n]) >= odds) & (odds > 0) & (kept >= _kept(n, share))
-        ok = named | (odds == 0) & (kept >= n - 1 - (n - int(np.ceil(share * n - 1e-9))))
+    for n in range(4, least_words):
+        if n not in spans or spans[n].max() < _kept(n, share):
+            continue
+        odds = odd[n:] - odd[:-n]
+        named = (2 * (met[:, n:] - met[:, :-n]) >= odds) & (odds > 0) & (spans[n] >= _kept(n, share))
+        ok = named | (odds == 0) & (spans[n] >= n - 1 - (n - int(np.ceil(share * n - 1e-9))))
         cover[:, : len(words) - n + 1] += ok
         cover[:, n:] -= ok
-    return int((np.cumsum(cover, axis=1)[:, :-1] > 0).any(axis=0).sum()) >= least_words
+    covered = np.cumsum(cover, axis=1)[:, :-1] > 0
+    if not whole.any() and covered.any(axis=0).sum() < least_words:
+        return []
+    return [part for part, good in zip(parts, whole | covered.any(axis=1)) if good]
 
 
+@lru_cache
 def _kept(n: int, share: float) -> int:
     """Pairs of neighbours that ``n`` words keep together when ``share`` of them is equal."""
     return n - 1 - 2 * (n - int(np.ceil(share * n - 1e-9)))
@@ -406,18 +493,23 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix = shared.value
+            sieve = Sieve(ix, least_words, share)
             for batch in batches:
                 for at in range(0, batch.num_rows, 400):
                     ids, texts = batch.column(0).slice(at, 400), [squash(t) for t in batch.column(1).slice(at, 400).to_pylist()]
+                    wanted = sieve(texts)
+                    if not len(wanted):
+                        continue
+                    kept, renamed = np.unique(wanted // len(ix.raw), return_inverse=True)
+                    ids, texts = ids.take(pa.array(kept)), [texts[k] for k in kept]
+                    wanted = renamed * len(ix.raw) + wanted % len(ix.raw)
                     raw = code_points("\x00".join(texts))
                     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
                     by: dict[tuple[int, int], list] = {}
                     unclear, tasks = [], []
-                    for (t, p), parts in regions(raw, texts, starts, ix, band).items():
-                        if not may_leak(texts[t], parts, ix, p, least_words, share):
-                            continue
+                    for (t, p), parts in regions(raw, texts, starts, ix, band, wanted).items():
                         text = raw[starts[t] : starts[t] + len(texts[t])]
-                        for part in parts:
+                        for part in may_leak(texts[t], parts, ix, p, least_words, share):
                             exact = along(text, ix.raw[p], part)
                             if exact is None:
                                 unclear.append((t, p))
