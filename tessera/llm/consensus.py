@@ -28,6 +28,10 @@ LETTERS = "abcde"
 K = len(LETTERS)
 
 
+#: Begins the names given to answers whose annotator is not known.
+ANONYMOUS = "\x00"
+
+
 def letter_of(answer: Column) -> Column:
     """The one letter a to e that stands alone in a free-form answer; null if there is none or several."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(answer), F.lit(r"(?<![\p{L}\p{N}])([a-e])(?![\p{L}\p{N}])"), F.lit(1)))
@@ -38,9 +42,11 @@ def latest_answers(responses: DataFrame) -> DataFrame:
     """``(study_id, cluster_id, rater, letter int)`` with the letter's position, null if left open.
 
     Of an annotator's answers to an item the latest counts, equal times are settled by the
-    text; a null annotator is one anonymous annotator; rows without study or item are none.
+    text; every different answer of a null annotator is one of somebody else, named by a hash
+    after ``ANONYMOUS``; rows without study or item are none.
     """
-    last = responses.filter("study_id is not null and cluster_id is not null").groupBy("study_id", "cluster_id", F.coalesce("rater", F.lit("")).alias("rater")).agg(F.max(F.struct("submitted_at", "t1")).alias("a"))
+    nobody = F.concat(F.lit(ANONYMOUS), F.xxhash64("study_id", "cluster_id", "t1", "submitted_at").cast("string"))
+    last = responses.filter("study_id is not null and cluster_id is not null").groupBy("study_id", "cluster_id", F.coalesce("rater", nobody).alias("rater")).agg(F.max(F.struct("submitted_at", "t1")).alias("a"))
     return last.select("study_id", "cluster_id", "rater", (F.instr(F.lit(LETTERS), letter_of(F.col("a.t1"))) - 1).alias("letter"))
 
 
@@ -189,9 +195,10 @@ def rater_reliability(responses: DataFrame, **model) -> DataFrame:
     """``rater, n_answers, reliability, community``: expected share of right answers by annotator.
 
     The diagonal of the annotator's posterior matrix, averaged over letters; annotators with
-    few answers stay near their community's value.  Annotators without a legible answer
-    have no row.  ``community`` is the index of the likeliest starting matrix.
+    few answers stay near their community's value.  Annotators without a legible answer and
+    answers without an annotator have no row.  ``community`` is the index of the likeliest starting matrix.
     """
     fit = community_consensus(responses, **model)
     diagonal = sum((F.exp(F.col("log_confusion")[c * K + c]) for c in range(K)), F.lit(0.0)) / K
-    return fit.raters.select("rater", F.aggregate("n", F.lit(0.0), lambda a, x: a + x).alias("n"), diagonal.alias("reliability"), (F.array_position("weights", F.array_max("weights")) - 1).cast("int").alias("community")).select("rater", F.round("n").cast("long").alias("n_answers"), "reliability", "community")
+    named = fit.raters.filter(~F.startswith("rater", F.lit(ANONYMOUS)))
+    return named.select("rater", F.aggregate("n", F.lit(0.0), lambda a, x: a + x).alias("n"), diagonal.alias("reliability"), (F.array_position("weights", F.array_max("weights")) - 1).cast("int").alias("community")).select("rater", F.round("n").cast("long").alias("n_answers"), "reliability", "community")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import terms
 from tessera.plans.lineage import Workspace
-from tessera.sources.tables import one_delivery
+from tessera.sources.tables import single_deliveries
 
 PARTIAL = T.StructType(
     [
@@ -186,7 +186,7 @@ def term_frequency(corpus: DataFrame, text_col: str = "text", value_cols: tuple[
     is both (tiny tables) is rare.  A row is one logical ``key``; rows with a null key each
     count.  Null texts and values have no term, but count in the share's denominator.
     """
-    rows = one_delivery(corpus.select(key, text_col, *value_cols), key)
+    rows = single_deliveries(corpus.select(key, text_col, *value_cols), key)
     counts = count_values(rows.select(terms(F.col(text_col)).alias(text_col), *value_cols), [text_col, *value_cols])
     total = counts.filter(F.col("field_name") == ALL_ROWS).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_all"))
     limit = F.when(F.col("field_name") == text_col, F.lit(common_terms)).otherwise(F.lit(common_values))

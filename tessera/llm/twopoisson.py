@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import strip_ws, terms
 from tessera.plans.lineage import Workspace
-from tessera.sources.tables import one_delivery
+from tessera.sources.tables import one_delivery, single_deliveries
 
 FIT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("share", "elite_rate", "base_rate")])
 
@@ -97,7 +97,7 @@ def session_terms(corpus: DataFrame) -> DataFrame:
     ``n_rows`` counts the session's distinct sentences with the term.  Sentences without a
     session come out under a null key: they are no record, but rows that hold the term.
     """
-    rows = one_delivery(corpus.select("sentence_id", "session", "text"), "sentence_id").filter(F.col("text").isNotNull())
+    rows = single_deliveries(corpus.select("sentence_id", "session", "text"), "sentence_id").filter(F.col("text").isNotNull())
     words = rows.select("session", terms(F.col("text")).alias("w"))
     once = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("row")))
     every = F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("row")))

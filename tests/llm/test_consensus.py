@@ -54,3 +54,11 @@ def test_latest_answer_repeats_open_items_and_nulls(spark):
     assert (got[1].letter, got[1].n_answers, got[1].agreement) == ("b", 3, 1.0)
     assert (got[2].letter, got[2].probability, got[2].n_answers) == ("d", None, 0) and got[3].letter is None
     assert consensus_letters(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_answers_without_an_annotator_all_count(spark):
+    rows, _ = answers()
+    rows += [("s", 0, None, x, None, T0 + dt.timedelta(hours=k)) for k, x in enumerate("abab")] + [("s", 0, None, "b", None, T0 + dt.timedelta(hours=3))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.cluster_id: r.n_answers for r in consensus_letters(df).collect()}[0] == 14
+    assert {r.rater for r in rater_reliability(df).collect()} == {x[2] for x in rows if x[2]}
