@@ -38,7 +38,9 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float, partitions: int | None =
     """Adds ``q_value`` and ``rejected`` for one family over all rows.
 
     Only the distinct p-values are ordered; equal ones share rank, decision and q-value.
-    A null p-value belongs to no family and gets nulls.
+    A null p-value belongs to no family and gets nulls.  A p-value of 1, as most pairs
+    have, is never rejected at ``q`` below 1 and has the q-value 1, so those rows are not
+    looked up: they take part in the join under keys of their own that meet nothing.
     """
     counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     held = _ranged(counts, [F.col("__p")], partitions)
@@ -63,7 +65,10 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float, partitions: int | None =
         cut = r["cut"] if cut is None else cut if r["cut"] is None else max(cut, r["cut"])
     floors = F.broadcast(spark.createDataFrame(later, "__part int, __floor double"))
     table = ranked.join(floors, "__part").select("__p", F.least(F.lit(1.0), F.least("__min", F.coalesce("__floor", "__min"))).alias("q_value"), (F.col("__p") <= F.lit(-1.0 if cut is None else cut)).alias("rejected"))
-    return df.join(table, df[p] == table["__p"], "left").drop("__p")
+    key = F.when(F.col(p) < 1, F.col(p)).otherwise(-1.0 - F.pmod(F.monotonically_increasing_id(), F.lit(1009)))
+    joined = df.withColumn("__key", key).join(table, F.col("__key") == F.col("__p"), "left").drop("__p", "__key")
+    sure = F.col(p) >= 1
+    return joined.withColumn("q_value", F.when(sure, 1.0).otherwise(F.col("q_value"))).withColumn("rejected", F.when(sure, F.lit(q >= 1)).otherwise(F.col("rejected")))
 
 
 def benjamini_hochberg_within(df: DataFrame, group: list[str], p: str, q: float) -> DataFrame:
