@@ -36,3 +36,12 @@ def single_deliveries(df: DataFrame, *key: str) -> DataFrame:
     alone = df.join(repeated, list(key), "left_anti").select(df.columns)
     again = df.join(repeated, list(key), "left_semi").select(df.columns).dropDuplicates(list(key))
     return alone.unionByName(again)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where there are fewer partitions than cores; for costly work on small files.
+
+    A table large enough to fill the cluster has more partitions and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
