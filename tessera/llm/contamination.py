@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import spread
+
 Q, DRIFT, PAD = 8, 8, 60
 _MARKUP = re.compile(r"<[^<>]{0,200}>")
 _LETTERS = re.compile(r"[^\W_]+").findall
@@ -522,7 +524,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                         t, owner, n, m = zip(*rows)
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(t)), pa.array(owner), pa.array(n, pa.int32()), pa.array(m, pa.int32())], names=[id_col, item_col, "n_words", "n_matched"])
 
-        found = docs.select(id_col, text_col).mapInArrow(run, schema)
+        found = spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

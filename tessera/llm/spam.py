@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import Workspace
+from tessera.sources.tables import spread
 
 MARK, NUMBER, PRICE, TAG, URL, WORD = 0, 1, 2, 3, 4, 16  # words are hashes from WORD on
 URLS = r"(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@.])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,12}(?:/[^\s<>\"')\]]*)?(?![\w.])"
@@ -226,7 +227,7 @@ def stuffed_shares(
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((ids, pa.int64()), (sizes, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=[id_col, "ids", "sizes"])
 
-    tokens = ws.write(df.select(id_col, text_col).mapInArrow(split, f"`{id_col}` {id_type}, ids array<bigint>, sizes array<int>"), "tokens")
+    tokens = ws.write(spread(df.select(id_col, text_col)).mapInArrow(split, f"`{id_col}` {id_type}, ids array<bigint>, sizes array<int>"), "tokens")
     shared = spark.sparkContext.broadcast(corpus_counts(ws, tokens, least_share))
 
     def learn(batches):
