@@ -53,8 +53,8 @@ def _worded(x: Column) -> Column:
     return x.rlike(r"^\p{L}")
 
 
-def particulars(ws: Workspace, rows: DataFrame, most_share: float = 0.006, phrase_share: float = 0.0005, reach: int = 16) -> DataFrame:
-    """``(id, at, stretch, word, weight)``: the particulars of records ``(id, text)``, in the order of the text.
+def particulars(ws: Workspace, rows: DataFrame, most_share: float = 0.006, phrase_share: float = 0.0005, reach: int = 16) -> tuple[DataFrame, int]:
+    """``(id, at, stretch, word, weight)``: the particulars of records ``(id, text)``, in the order of the text, and the number of records.
 
     A particular is a word that ``most_share`` of the records or fewer hold, in two records at
     least, or two frequent words that are found together: in ``phrase_share`` to ``most_share``
@@ -66,11 +66,11 @@ def particulars(ws: Workspace, rows: DataFrame, most_share: float = 0.006, phras
     spark = rows.sparkSession
     words = ws.write(rows.select("id", tokens(F.col("text")).alias("w")), "words")
     total = max(1, words.count())
-    held = words.select(F.explode(F.array_distinct("w")).alias("word")).filter(_worded(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    held = words.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # with the words of an average record, at most that many over the share can pass each of the filters
-    known = ws.write(held.filter(F.col("n") >= phrase_share * total), "frequent")
+    known = ws.write(held.filter((F.col("n") >= phrase_share * total) & _worded(F.col("word"))), "frequent")
     two = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.element_at("w", i + 2).alias("b")))
-    pairs = words.select(F.explode(F.array_distinct(two)).alias("p")).select("p.*").filter((F.col("a") != F.col("b")) & _worded(F.col("a")) & _worded(F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = words.select(F.explode(F.array_distinct(two)).alias("p")).select("p.*").filter(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.filter(F.col("n") >= phrase_share * total).join(known.select(F.col("word").alias("a"), F.col("n").alias("n_a")), "a").join(known.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
     common = {r["word"] for r in known.filter(F.col("n") > 0.05 * total).select("word").collect()}
     frequent = {r["word"] for r in known.filter(F.col("n") > most_share * total).select("word").collect()}
@@ -109,7 +109,7 @@ def particulars(ws: Workspace, rows: DataFrame, most_share: float = 0.006, phras
     id_type = rows.schema["id"].dataType.simpleString()
     found = ws.write(words.mapInArrow(read, f"id {id_type}, at int, stretch int, word bigint"), "found")
     counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= most_share * total))
-    return found.join(counted, "word").select("id", "at", "stretch", "word", (F.lit(math.log(total)) - F.log("n")).alias("weight"))
+    return found.join(counted, "word").select("id", "at", "stretch", "word", (F.lit(math.log(total)) - F.log("n")).alias("weight")), total
 
 
 def agreement_keys(found: DataFrame, total: int, expected: float, reach: int = 16) -> DataFrame:
@@ -139,8 +139,8 @@ def incident_keys(corpus: DataFrame, expected: float = 6.0, most_share: float =
     """``(sentence_id, keys array<bigint>)`` of the sentences that agree with another one beyond chance."""
     ws = Workspace(corpus.sparkSession, "incidents")
     rows = single_deliveries(corpus.select("sentence_id", "text").filter("sentence_id is not null and text is not null"), "sentence_id").withColumnRenamed("sentence_id", "id")
-    total = corpus.select("sentence_id").filter("text is not null").distinct().count()
-    keys = ws.write(agreement_keys(particulars(ws, rows, most_share), total, expected).select("id", F.explode("keys").alias("key")), "keys")
+    found, total = particulars(ws, rows, most_share)
+    keys = ws.write(agreement_keys(found, total, expected).select("id", F.explode("keys").alias("key")), "keys")
     again = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     return keys.join(again, "key").groupBy(F.col("id").alias("sentence_id")).agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
