@@ -1,5 +1,6 @@
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 
@@ -116,3 +117,31 @@ def test_entries_without_a_given_name_all_join_the_one_entity(spark):
     got = {r.entry_id: r.entity for r in entities(spark.createDataFrame([(i, n, "PERSON", None, "") for i, n in enumerate(names, 1)], SCHEMA)).collect()}
     assert {got[i] for i in range(1, 7)} == {1}
     assert not {got[9], got[10]} & {got[7], got[8]} and got[7] != got[8]
+
+
+def test_slices_of_keys_give_the_same_and_little_stays_on_disk(spark, monkeypatch):
+    from tessera.llm import names
+
+    df, want, _ = frame(spark)
+    monkeypatch.setattr(names, "SLICE_ENTRIES", 12, raising=False)
+    spaces = []
+
+    class Kept(names.Workspace):
+        def __init__(self, *args, **kwargs):
+            super().__init__(*args, **kwargs)
+            spaces.append(self)
+
+    monkeypatch.setattr(names, "Workspace", Kept)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    assert {(r.entry_id_a, r.entry_id_b) for r in same_entity(df).collect()} == want
+    assert spark.conf.get(setting, None) == before
+    left = [sorted(p.name[4:] for p in Path(w.root.split("://")[-1]).iterdir() if any(p.glob("*.parquet"))) for w in spaces]
+    assert sorted(left) == [["components"], ["entities"], ["links"]]
+
+
+def test_one_edit_is_the_edit_distance():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rnd.choice("ab") for _ in range(rnd.randint(0, 5))) for _ in range(2))
+        assert edits(a, b, 1) == min(2, edits(a, b, 9))
