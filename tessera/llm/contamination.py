@@ -16,7 +16,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -89,6 +88,9 @@ class PassageIndex:
     sure: np.ndarray  # the same for a leak without rare words
     owners: list[list]
 
+    def __post_init__(self) -> None:
+        self.distinct, self.first, self.count = np.unique(self.hashes, return_index=True, return_counts=True)
+
 
 def shared_qgrams(sizes: np.ndarray, least_words: int, share: float, alike: float | None = None) -> int:
     """Least q-grams shared by a passage of these word sizes and a text with ``share`` of ``least_words`` or more of its words.
@@ -165,6 +167,12 @@ class Sieve:
         self.odd = np.array([x for _, _, x in order], bool)
         self.first = np.searchsorted(np.array([k for k, _, _ in order], np.int64), np.arange(len(ids) + 1))
         self.passages = len(ix.raw)
+        self.size = np.array([len(w) for w in ids], np.int64)
+        owner, which = np.divmod(self.at, self.width)
+        which -= 2 * least_words
+        self.owner, self.which, self.small = owner, which, self.size[[k for k, _, _ in order]] < Q if order else self.odd
+        begins = [_word_bounds(w) for w in ix.words]
+        self.begin = np.array([begins[p][i][0] for p, i in zip(owner.tolist(), which.tolist())], np.int64)
         self.auto = ahocorasick.Automaton()
         for w, k in ids.items():
             self.auto.add_word(w, k)
@@ -173,14 +181,19 @@ class Sieve:
     def __call__(self, texts: list[str]) -> np.ndarray:
         """Sorted ``text * passages + passage`` of what may hold a leak."""
         none = np.zeros(0, np.int64)
-        found = [{k for _, k in self.auto.iter(t)} if len(self.auto) else () for t in texts]
+        found = [list(self.auto.iter(t)) if len(self.auto) else [] for t in texts]
         size = np.array([len(f) for f in found], np.int64)
+        self.hits = none, none, none
         if not size.sum():
             return none
-        ids = np.fromiter((k for f in found for k in f), np.int64, size.sum())
+        end, ids = np.array([x for f in found for x in f], np.int64).T
+        text = np.repeat(np.arange(len(texts)), size)
+        self.hits = text, ids, end + 1 - self.size[ids]
+        once = np.unique(text * len(self.size) + ids)
+        text, ids = np.divmod(once, len(self.size))
         n = self.first[ids + 1] - self.first[ids]
         entry = np.repeat(self.first[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        key = np.repeat(np.repeat(np.arange(len(texts)), size), n) * (self.passages * self.width) + self.at[entry]
+        key = np.repeat(text, n) * (self.passages * self.width) + self.at[entry]
         odd = self.odd[entry]
         rare, key = np.sort(key[odd]), key[~odd]
         own = key // self.width
@@ -213,32 +226,51 @@ class Sieve:
             held.append(np.nonzero(words >= self.least)[0])
         return np.unique(np.concatenate(held))
 
+    def places(self, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the last texts: ``(text * passages + passage, is a word, which word or pair, diagonal, is shorter than a q-gram)`` of every place of the wanted, sorted by the first."""
+        text, ids, at = self.hits
+        own = np.unique(wanted // self.passages)
+        stay = np.isin(text, own)
+        text, ids, at = text[stay], ids[stay], at[stay]
+        n = self.first[ids + 1] - self.first[ids]
+        entry = np.repeat(self.first[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        key = np.repeat(text, n) * self.passages + self.owner[entry]
+        stay = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+        key, entry, diagonal = key[stay], entry[stay], np.repeat(at, n)[stay] - self.begin[entry[stay]]
+        order = np.argsort(key, kind="stable")
+        return key[order], self.odd[entry][order], self.which[entry][order], diagonal[order], self.small[entry][order]
+
+    def short_words(self, places: tuple[np.ndarray, ...]) -> np.ndarray:
+        """``text * passages + passage`` where a rare word no q-gram fits into is met."""
+        return np.unique(places[0][places[1] & places[4]])
 
-def regions(raw: np.ndarray, texts: list[str], starts: np.ndarray, ix: PassageIndex, band: int, wanted: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+
+def regions(raw: np.ndarray, starts: np.ndarray, ix: PassageIndex, band: int, wanted: np.ndarray, short: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
     """Candidate regions ``(low diagonal, high diagonal, from, to)`` by text and passage of concatenated texts.
 
     Of texts and passages only the ``wanted`` are looked at (sorted ``text * passages + passage``).
     These are bands of diagonals that share with the passage the q-grams any leak of it must:
     ``need`` of which one touches a rare word, or ``sure`` of any kind; where a rare word is
-    shorter than a q-gram, the letters of the text decide whether it may be there.  Bands overlap
+    shorter than a q-gram, the letters of the text decide whether it may be there (``short``: the
+    texts and passages for which one is).  Bands overlap
     by half, so a run that drifts by less than half a band lies whole in one of them.
     """
     h = qgram_hashes(raw)
     maybe = np.nonzero(ix.present[(h >> _SLOT).astype(np.int64)])[0]
-    lo = np.searchsorted(ix.hashes, h[maybe])
-    n = np.searchsorted(ix.hashes, h[maybe], side="right") - lo
-    if not n.sum():
+    k = np.minimum(np.searchsorted(ix.distinct, h[maybe]), len(ix.distinct) - 1)
+    there = ix.distinct[k] == h[maybe]
+    if not there.any():
         return {}
+    maybe, lo, n = maybe[there], ix.first[k[there]], ix.count[k[there]]
     at = np.repeat(maybe, n)
     entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    text = np.searchsorted(starts, at, side="right") - 1
+    text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(raw))))[at]
     pid, odd = ix.passage[entry].astype(np.int64), ix.odd[entry]
     where = at - starts[text]
     diagonal = where - ix.place[entry] + (1 << 20)
     pair = text.astype(np.int64) * len(ix.raw) + pid
     stay = wanted[np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)] == pair
     odd, where, diagonal, owner = odd[stay], where[stay], diagonal[stay], pair[stay] << 33
-    short = np.array([bool(x) for x in ix.short])
     found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
     for shift in (0, band // 2):
         key = owner | ((diagonal + shift) // band)
@@ -250,9 +282,8 @@ def regions(raw: np.ndarray, texts: list[str], starts: np.ndarray, ix: PassageIn
         count = np.diff(np.append(first, len(key)))
         t, p = np.divmod(key[first] >> 33, len(ix.raw))
         told = np.logical_or.reduceat(odd[order], first)
+        told |= np.isin(key[first] >> 33, short)
         good = (count >= ix.sure[p]) | ((count >= ix.need[p]) & told)
-        for k in np.nonzero(~good & (count >= ix.need[p]) & short[p])[0]:
-            good[k] = any(w in texts[t[k]] for w in ix.short[p[k]])
         d, x = diagonal[order] - (1 << 20), where[order]
         ends = (np.minimum.reduceat(d, first), np.maximum.reduceat(d, first), np.minimum.reduceat(x, first), np.maximum.reduceat(x, first) + Q)
         for a, b, *part in np.stack([v[good] for v in (t, p, *ends)], axis=1).tolist():
@@ -264,50 +295,73 @@ def regions(raw: np.ndarray, texts: list[str], starts: np.ndarray, ix: PassageIn
     return found
 
 
-def may_leak(text: str, parts: list[tuple[int, int, int, int]], ix: PassageIndex, p: int, least_words: int, share: float) -> list[tuple[int, int, int, int]]:
-    """The bands whose words of passage ``p`` can make up a leak or a piece of one, whatever the alignment; none if all of them cannot.
+def may_leak(found: dict[tuple[int, int], list[tuple[int, int, int, int]]], places: tuple[np.ndarray, ...], ix: PassageIndex, least_words: int, share: float) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+    """The bands whose words can make up a leak or a piece of one, whatever the alignment.
 
     A word changed parts two pairs of neighbours and a word put in one, so a leak keeps a number
     of pairs together in its band: in one stretch, or in pieces of four words or more that
-    hold half of their rare words, or all words where they have none.
+    hold half of their rare words, or all words where they have none.  ``places`` are those of
+    all pairs and rare words (see ``Sieve.places``), by ``text * passages + passage``.
     """
-    words, pairs, places, rare, find = ix.spelled[p], ix.pairs[p], ix.places[p], ix.rare[p], text.find
-    held = np.zeros((len(parts), len(pairs)), bool)
-    for row, (low, high, a, b) in zip(held, parts):
-        i, j = bisect_left(places, a - PAD - high - DRIFT), bisect_left(places, b + PAD - low + DRIFT)
-        lo, hi = low - DRIFT, high + DRIFT
-        row[i:j] = [find(w, max(0, x + lo), max(0, x + hi + len(w))) >= 0 for w, x in zip(pairs[i:j], places[i:j])]
-    if held.any(axis=0).sum() < least_words // 4 * _kept(5, share):
-        return []
-    total = np.zeros((len(parts), len(words)), int)
-    total[:, 1:] = np.cumsum(held, axis=1)
-    least = [_kept(n, share) for n in range(4, min(len(words), 2 * least_words - 1) + 1)]
-    whole, cover = np.zeros(len(parts), bool), np.zeros((len(parts), len(words) + 1), int)
-    spans = {n: total[:, n - 1 :] - total[:, : len(words) - n + 1] for n, j in zip(range(4, 4 + len(least)), least) if total[:, -1].max() >= j}
-    for n in range(least_words, 4 + len(least)):
-        if n in spans:
-            whole |= (spans[n] >= _kept(n, share)).any(axis=1)
-    if whole.all():
-        return parts
-    here = np.zeros((len(parts), len(words)), bool)
-    for row, (low, high, *_) in zip(here, parts):
-        for i in np.nonzero(rare)[0]:
-            x = places[i] if i < len(places) else len(ix.raw[p]) - len(words[i])
-            row[i] = find(words[i], max(0, x + low - DRIFT), max(0, x + high + DRIFT + len(words[i]))) >= 0
-    odd, met = np.concatenate([[0], np.cumsum(rare)]), np.zeros((len(parts), len(words) + 1), int)
-    met[:, 1:] = np.cumsum(here, axis=1)
-    for n in range(4, least_words):
-        if n not in spans or spans[n].max() < _kept(n, share):
+    out: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    # bands of passages of like length are computed together
+    keys = sorted(found, key=lambda k: (len(ix.spelled[k[1]]), k))
+    for at in range(0, len(keys), 500):
+        _judge(keys[at : at + 500], found, places, ix, least_words, share, out)
+    return {k: out[k] for k in found if k in out}
+
+
+def _judge(keys: list[tuple[int, int]], found: dict, places: tuple[np.ndarray, ...], ix: PassageIndex, least_words: int, share: float, out: dict) -> None:
+    parts = np.array([part for k in keys for part in found[k]], np.int64)
+    many = np.array([len(found[k]) for k in keys])
+    first = np.cumsum(many) - many
+    pair = np.repeat(np.arange(len(keys)), many)
+    size = np.array([len(ix.spelled[p]) for _, p in keys])
+    words, rows = int(size.max()), len(parts)
+    own, is_word, which, diagonal, _ = places
+    named = np.array([t * len(ix.raw) + p for t, p in keys])[pair]
+    lo = np.searchsorted(own, named)
+    n = np.searchsorted(own, named, side="right") - lo
+    entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    row = np.repeat(np.arange(rows), n)
+    inside = (diagonal[entry] >= parts[row, 0] - DRIFT) & (diagonal[entry] <= parts[row, 1] + DRIFT)
+    row, entry = row[inside], entry[inside]
+    held, here, rare = np.zeros((rows, words), bool), np.zeros((rows, words), bool), np.zeros((len(keys), words), bool)
+    starts = np.full((len(keys), words), 1 << 40)
+    for i, (_, p) in enumerate(keys):
+        rare[i, : size[i]] = ix.rare[p]
+        starts[i, : size[i] - 1] = ix.places[p]
+    is_word = is_word[entry]
+    held[row[~is_word], which[entry[~is_word]]] = True
+    here[row[is_word], which[entry[is_word]]] = True
+    starts = starts[pair]
+    low, high, a, b = (parts[:, c : c + 1] for c in range(4))
+    held &= (starts >= a - PAD - high - DRIFT) & (starts < b + PAD - low + DRIFT)  # pairs beside the band say nothing
+    rare, size = rare[pair], size[pair]
+    enough = np.logical_or.reduceat(held, first).sum(axis=1) >= least_words // 4 * _kept(5, share)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((rows, 1), np.int16), np.cumsum(x, axis=1, dtype=np.int16)], axis=1)
+
+    total, odd, met = sums(held)[:, :-1], sums(rare), sums(here)
+    whole, cover = np.zeros(rows, bool), np.zeros((rows, words + 1), np.int16)
+    for k in range(4, min(words, 2 * least_words - 1) + 1):
+        spans = total[:, k - 1 :] - total[:, : words - k + 1]
+        fits = np.arange(words - k + 1) + k <= size[:, None]
+        if k >= least_words:
+            whole |= ((spans >= _kept(k, share)) & fits).any(axis=1)
             continue
-        odds = odd[n:] - odd[:-n]
-        named = (2 * (met[:, n:] - met[:, :-n]) >= odds) & (odds > 0) & (spans[n] >= _kept(n, share))
-        ok = named | (odds == 0) & (spans[n] >= n - 1 - (n - int(np.ceil(share * n - 1e-9))))
-        cover[:, : len(words) - n + 1] += ok
-        cover[:, n:] -= ok
+        odds = odd[:, k:] - odd[:, :-k]
+        told = (2 * (met[:, k:] - met[:, :-k]) >= odds) & (odds > 0) & (spans >= _kept(k, share))
+        ok = (told | (odds == 0) & (spans >= int(np.ceil(share * k - 1e-9)) - 1) & (spans.max(axis=1, keepdims=True) >= _kept(k, share))) & fits
+        cover[:, : words - k + 1] += ok
+        cover[:, k:] -= ok
     covered = np.cumsum(cover, axis=1)[:, :-1] > 0
-    if not whole.any() and covered.any(axis=0).sum() < least_words:
-        return []
-    return [part for part, good in zip(parts, whole | covered.any(axis=1)) if good]
+    some = np.logical_or.reduceat(covered, first).sum(axis=1) >= least_words
+    good = enough & (np.logical_or.reduceat(whole, first) | some)
+    keep = (whole | covered.any(axis=1)) & good[pair]
+    for i in np.nonzero(keep)[0]:
+        out.setdefault(keys[pair[i]], []).append(tuple(parts[i].tolist()))
 
 
 @lru_cache
@@ -332,7 +386,7 @@ def along(text: np.ndarray, passage: np.ndarray, part: tuple[int, int, int, int]
     return out
 
 
-def align_many(tasks: list[tuple[np.ndarray, np.ndarray, int, int]], batch: int = 64) -> list[np.ndarray]:
+def align_many(tasks: list[tuple[np.ndarray, np.ndarray, int, int]], batch: int = 256) -> list[np.ndarray]:
     """Local alignments of texts with passages, each over diagonals low to high (text place less passage place).
 
     Equal characters score 1, an unequal or missing one -1.  Returns for each passage
@@ -341,30 +395,37 @@ def align_many(tasks: list[tuple[np.ndarray, np.ndarray, int, int]], batch: int
     """
     out: list[np.ndarray] = [np.zeros(0, int)] * len(tasks)
     order = sorted(range(len(tasks)), key=lambda k: (len(tasks[k][1]), tasks[k][3] - tasks[k][2]))
-    for at in range(0, len(order), batch):
+    at = 0
+    while at < len(order):
         some = order[at : at + batch]
+        while len(some) > 16 and len(some) * len(tasks[some[-1]][1]) > 100_000:
+            some = some[: len(some) // 2]  # passages are long: the scores take as much as those of many short ones
+        at += len(some)
         n, rows = len(some), max(len(tasks[k][1]) for k in some)
         width = max(tasks[k][3] - tasks[k][2] + 1 for k in some)
-        reach = max(len(tasks[k][0]) for k in some)
-        text, passage = np.full((n, reach + 1), -1, np.int32), np.full((n, rows), -2, np.int32)
-        low, size = np.zeros((n, 1), np.int64), np.zeros((n, 1), np.int64)
+        text, passage = np.full((n, rows + width), -1, np.int32), np.full((n, rows), -2, np.int32)
+        inside = np.zeros((n, rows + width), bool)
         wide = np.zeros((n, width), bool)
         for i, k in enumerate(some):
             t, q, lo, hi = tasks[k]
-            text[i, : len(t)], passage[i, : len(q)], low[i], size[i] = t, q, lo, len(t)
+            passage[i, : len(q)] = q
+            a, b = max(0, -lo), min(rows + width, len(t) - lo)  # column x holds text place lo + x
+            if b > a:
+                text[i, a:b], inside[i, a:b] = t[lo + a : lo + b], True
             wide[i, : hi - lo + 1] = True
         score = np.zeros((rows + 1, n, width + 2), np.int16)
-        lane, span = np.arange(n)[:, None], np.arange(width + 2, dtype=np.int16)
-        place = low + np.arange(width)
+        span = np.arange(width + 2, dtype=np.int16)
         for r in range(rows):
-            inside = wide & (place >= 0) & (place < size)
-            same = text[lane, np.where(inside, place, reach)] == passage[:, r : r + 1]
+            same = text[:, r : r + width] == passage[:, r : r + 1]
             prev, row = score[r], score[r + 1]
-            step = np.maximum(prev[:, 1:-1] + np.where(same, 1, -1), prev[:, 2:] - 1)  # both advance; a passage character is skipped
-            row[:, 1:-1] = np.where(inside, np.maximum(step, 0), 0)
-            row[:] = np.maximum(np.maximum.accumulate(row + span, axis=1) - span, 0)  # text characters are skipped
+            step = prev[:, 1:-1] + (same.view(np.int8) * np.int8(2) - np.int8(1))  # both advance
+            np.maximum(step, prev[:, 2:] - np.int16(1), out=step)  # a passage character is skipped
+            np.maximum(step, 0, out=step)
+            np.multiply(step, wide & inside[:, r : r + width], out=row[:, 1:-1])
+            row += span
+            np.maximum.accumulate(row, axis=1, out=row)  # text characters are skipped
+            row -= span
             row[:, 0] = row[:, -1] = 0
-            place += 1
         for i, k in enumerate(some):
             out[k] = _closed(_best_path(score[:, i], *tasks[k][:3]), *tasks[k][:2])
     return out
@@ -373,18 +434,18 @@ def align_many(tasks: list[tuple[np.ndarray, np.ndarray, int, int]], batch: int
 def _best_path(score: np.ndarray, text: np.ndarray, passage: np.ndarray, low: int) -> np.ndarray:
     out = np.full(len(passage), -1)
     r, c = divmod(int(score.argmax()), score.shape[1])
-    cells, t, p = score[: r + 1].tolist(), text.tolist(), passage.tolist()
+    cells, t, p = memoryview(np.ascontiguousarray(score[: r + 1])), text.tolist(), passage.tolist()
     last = score.shape[1] - 1
-    while r > 0 and cells[r][c] > 0:
-        place, here = r - 1 + low + c - 1, cells[r][c]
+    while r > 0 and cells[r, c] > 0:
+        place, here = r - 1 + low + c - 1, cells[r, c]
         same = 0 <= place < len(t) and r <= len(p) and t[place] == p[r - 1]
-        if here == cells[r - 1][c] + (1 if same else -1):
+        if here == cells[r - 1, c] + (1 if same else -1):
             if same:
                 out[r - 1] = place
             r -= 1
-        elif c < last and here == cells[r - 1][c + 1] - 1:
+        elif c < last and here == cells[r - 1, c + 1] - 1:
             r, c = r - 1, c + 1
-        elif here == cells[r][c - 1] - 1:
+        elif here == cells[r, c - 1] - 1:
             c -= 1
         else:
             break
@@ -393,19 +454,22 @@ def _best_path(score: np.ndarray, text: np.ndarray, passage: np.ndarray, low: in
 
 def _closed(out: np.ndarray, text: np.ndarray, passage: np.ndarray) -> np.ndarray:
     """Of paths that score the same, the one whose runs are not broken: a letter next to its run is not matched beyond an edit."""
-    taken = {int(x): i for i, x in enumerate(out) if x >= 0}
+    out, text, passage = out.tolist(), text.tolist(), passage.tolist()
+    taken = {x: i for i, x in enumerate(out) if x >= 0}
     for step, order in ((1, range(1, len(out))), (-1, range(len(out) - 2, -1, -1))):
         for i in order:
+            if out[i] >= 0 or out[i - step] < 0:
+                continue
             want = out[i - step] + step
-            if out[i - step] < 0 or out[i] >= 0 or not 0 <= want < len(text) or text[want] != passage[i]:
+            if not 0 <= want < len(text) or text[want] != passage[i]:
                 continue
-            other = taken.get(int(want))
+            other = taken.get(want)
             if other is not None:
                 if 0 <= other + step < len(out) and out[other + step] == want + step:
                     continue  # it belongs to the next run
                 out[other] = -1
-            out[i], taken[int(want)] = want, i
-    return out
+            out[i], taken[want] = want, i
+    return np.array(out, int)
 
 
 def word_runs(matched: np.ndarray, share: float, gap: int, least: int) -> list[tuple[int, int]]:
@@ -441,11 +505,12 @@ def longest_leak(aligned: list[tuple[np.ndarray, int, int]], ix: PassageIndex, p
     """``(words in a row, words matched)`` of the longest leak of passage ``p`` in a text; (0, 0) if none is long enough."""
     words, rare = ix.words[p], ix.rare[p]
     bounds = _word_bounds(words)
+    first, end = np.array(bounds, int).reshape(-1, 2).T
     runs = []
     for got, a0, p0 in aligned:
         place = np.full(len(words), -1)
         place[p0 : p0 + len(got)] = np.where(got >= 0, got + a0, -1)
-        matched = np.array([place[x] >= 0 and (place[x:y] >= 0).all() and place[y - 1] - place[x] <= y - x for x, y in bounds])
+        matched = (np.minimum.reduceat(place, first) >= 0) & (place[end - 1] - place[first] <= end - first)
         for w0, w1 in word_runs(matched, share, gap, 4):
             odd = rare[w0:w1]
             ok = matched[w0:w1]
@@ -498,16 +563,19 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     wanted = sieve(texts)
                     if not len(wanted):
                         continue
+                    own, *places = sieve.places(wanted)
                     kept, renamed = np.unique(wanted // len(ix.raw), return_inverse=True)
                     ids, texts = ids.take(pa.array(kept)), [texts[k] for k in kept]
                     wanted = renamed * len(ix.raw) + wanted % len(ix.raw)
+                    places = (np.searchsorted(kept, own // len(ix.raw)) * len(ix.raw) + own % len(ix.raw), *places)
                     raw = code_points("\x00".join(texts))
                     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
                     by: dict[tuple[int, int], list] = {}
                     unclear, tasks = [], []
-                    for (t, p), parts in regions(raw, texts, starts, ix, band, wanted).items():
+                    found = may_leak(regions(raw, starts, ix, band, wanted, sieve.short_words(places)), places, ix, least_words, share)
+                    for (t, p), parts in found.items():
                         text = raw[starts[t] : starts[t] + len(texts[t])]
-                        for part in may_leak(texts[t], parts, ix, p, least_words, share):
+                        for part in parts:
                             exact = along(text, ix.raw[p], part)
                             if exact is None:
                                 unclear.append((t, p))

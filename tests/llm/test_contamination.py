@@ -154,3 +154,31 @@ def test_short_words_with_one_changed(spark):
     docs = [(k, FILL[1] + " " + " ".join(x if i != k else "zzzzz" for i, x in enumerate(w)) + " " + FILL[2]) for k in range(3, 14)]
     got = {r.doc_id for r in leaked_pairs(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert got == {k for k, _ in docs}
+
+
+def test_bands_are_judged_together_as_their_words_are_found():
+    from tessera.llm.contamination import DRIFT, Sieve, build_index, code_points, may_leak, regions
+
+    ix = build_index(PASSAGES, [[k] for k in range(len(PASSAGES))])
+    sieve = Sieve(ix, 14, 0.8)
+    texts = [squash(t) for t, want in CASES.values() if want]
+    wanted = sieve(texts)
+    places = sieve.places(wanted)
+    for t, p in zip(*np.divmod(wanted, len(PASSAGES))):
+        mine = places[0] == t * len(PASSAGES) + p
+        assert mine.any()
+        for word, k, d in zip(*(x[mine].tolist() for x in places[1:4])):
+            begin = int(np.nonzero(ix.words[p] == k)[0][0])
+            assert texts[t].startswith(ix.spelled[p][k] if word else ix.pairs[p][k], begin + d)
+    raw = code_points("\x00".join(texts))
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+    found = may_leak(regions(raw, starts, ix, 64, wanted, sieve.short_words(places)), places, ix, 14, 0.8)
+    assert {p for _, p in found} == {p for _, want in CASES.values() for p in want} and DRIFT
+
+
+def test_rare_words_with_a_letter_put_in_count(spark):
+    w = copy(PASSAGES[17], 20, 16).split()
+    changed = [x[:2] + "q" + x[2:] if i in (3, 8) else x for i, x in enumerate(w)]
+    items = spark.createDataFrame(list(enumerate(PASSAGES)), "item_id long, passage string")
+    docs = spark.createDataFrame([(1, FILL[20] + " " + " ".join(changed) + " " + FILL[21])], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaked_pairs(docs, items).collect()} == {(1, 17)}
